@@ -38,16 +38,21 @@ REJECT_QUANTILE = 0.999
 REJECT_FACTOR = 1.15
 
 
+#: Lower-case letters and the bytes of other scripts; all else is a blank.
+_SYMBOL = np.full(256, 32, np.uint8)
+_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(97, 123)
+_SYMBOL[128:] = np.arange(128, 256)
+
 
 def gram_counts(s: textvec.Slice) -> np.ndarray:
-    """Counts of hashed n-grams of each text, digits as one symbol, blanks as
-    one; n-grams don't cross texts. A slice of texts by BUCKETS."""
-    symbol = textvec.LOWER.copy()
-    symbol[48:58] = 48
-    symbol[textvec.BLANK] = 32
-    b = symbol[s.data].astype(np.uint32)
+    """Counts of hashed n-grams of each text: letters alone, a run of anything
+    else being one blank; n-grams don't cross texts. Texts by BUCKETS."""
+    b = _SYMBOL[s.data]
     rows = len(s)
     row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(s.bounds))
+    keep = b != 32
+    keep[1:] |= b[:-1] != 32
+    b, row = b[keep].astype(np.uint32), row[keep]
     out = np.zeros(rows * BUCKETS, np.float32)
     code = np.zeros(len(b), np.uint32)
     for size in range(1, max(GRAMS) + 1):

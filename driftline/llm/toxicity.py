@@ -5,7 +5,7 @@ labelled texts tie to toxicity. One weight vector serves all thresholds,
 P(grade <= k) = sigmoid(theta_k - w.x), and the output is the expected grade.
 
 Labels only say toxic or not, so training grades are 0 for the others and 1 to
-GRADES for toxic texts, by quantiles of their rate of indicative features.
+GRADES for toxic texts, by quantiles of their amount of indicative features.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ STEMS = (3, 4, 5, 6)
 TRAIN_PER_CLASS = 2500
 #: Features kept, those with the largest log odds.
 FEATURES = 2048
-#: A feature needs so many toxic training texts, and at least these log odds.
-LEAST_TEXTS = 5
-LEAST_LOG_ODDS = 2.5
+#: A feature needs this log-likelihood ratio (about p = 1e-6) and log odds.
+LEAST_RATIO = 24.0
+LEAST_LOG_ODDS = 4.0
 GRADES = 3
 #: A text is called toxic from this probability of a grade over 0.
 TOXIC_AT = 0.5
@@ -73,11 +73,12 @@ class ToxicityModel:
         return np.bincount(cells // len(self.weight), np.log1p(counts) * self.weight[cells % len(self.weight)], minlength=len(s))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the penalised likelihood,
-    by Adam on (w, theta_0, log gaps)."""
+    by Adam on (w, theta_0, log gaps). Grade 0 and all others weigh the same."""
     n, d = x.shape
-    share = np.clip(np.cumsum(np.bincount(grade, minlength=grades + 1))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
+    weigh = np.where(grade > 0, 0.5 / max((grade > 0).sum(), 1), 0.5 / max((grade == 0).sum(), 1))
+    share = np.clip(np.cumsum(np.bincount(grade, weigh, minlength=grades + 1))[:-1], 1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
     par = np.concatenate([np.zeros(d), theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
     m, v = np.zeros_like(par), np.zeros_like(par)
@@ -88,9 +89,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400
         up = 1 / (1 + np.exp(-np.clip(np.append(theta, np.inf)[grade] - z, -40, 40)))
         low = 1 / (1 + np.exp(-np.clip(np.append(-np.inf, theta)[grade] - z, -40, 40)))
         p = np.maximum(up - low, 1e-9)
-        du, dl = up * (1 - up) / p, low * (1 - low) / p
+        du, dl = weigh * up * (1 - up) / p, weigh * low * (1 - low) / p
         g_theta = np.bincount(grade, du, minlength=grades + 1)[:grades] - np.bincount(grade, dl, minlength=grades + 1)[1:]
-        g = np.concatenate([x.T @ (dl - du), [g_theta.sum()], [g_theta[k + 1 :].sum() * gaps[k] for k in range(grades - 1)]]) / n
+        g = np.concatenate([x.T @ (dl - du), [g_theta.sum()], [g_theta[k + 1 :].sum() * gaps[k] for k in range(grades - 1)]])
         g[:d] -= penalty * par[:d]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         par += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -126,30 +127,44 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> ToxicityMode
 
     #: The chosen labels are bounded by 2 * TRAIN_PER_CLASS in expectation, so they may be broadcast.
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, x binary").collect()
-    toxic, n = np.zeros(1 << HASH_BITS), [0, 0]
-    clean = np.zeros(1 << HASH_BITS)
-    rows = sorted((min(r.toxic, 1), bytes(r.x)) for r in rows)
+    return fit_rows([(min(r.toxic, 1), bytes(r.x)) for r in rows])
+
+
+def _log_likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n: list[int]) -> np.ndarray:
+    """Of each feature's presence against independence from the class."""
+    total = np.array([[toxic, n[1] - toxic], [clean, n[0] - clean]], float)
+    expected = total.sum(1)[:, None] * total.sum(0)[None] / (n[0] + n[1])
+    return 2 * np.where(total > 0, total * np.log(np.maximum(total, 1e-9) / np.maximum(expected, 1e-9)), 0).sum((0, 1))
+
+
+def fit_rows(rows: list[tuple[int, bytes]]) -> ToxicityModel:
+    """From (toxic, packed features) of the chosen texts."""
+    empty = ToxicityModel(np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1), np.arange(GRADES) + 5.0)
+    toxic, clean, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS), [0, 0]
+    rows = sorted(rows)
     for label, data in rows:
         (toxic if label else clean)[_unpacked(data)[0]] += 1
         n[label] += 1
     if not all(n):
         return empty
     odds = np.log((toxic + 0.1) / n[1]) - np.log((clean + 0.1) / n[0])
-    odds[(toxic < LEAST_TEXTS) | (odds < LEAST_LOG_ODDS)] = 0
+    odds[odds < LEAST_LOG_ODDS] = 0
+    often = np.flatnonzero(odds)
+    odds[often[_log_likelihood_ratio(toxic[often], clean[often], n) < LEAST_RATIO]] = 0
     picked = np.argsort(-odds * np.sqrt(toxic), kind="stable")[:FEATURES]
     picked = np.sort(picked[odds[picked] > 0])
     if not len(picked):
         return empty
     column = np.full(1 << HASH_BITS, -1, np.int32)
     column[picked] = np.arange(len(picked))
-    x, y, rate = np.zeros((len(rows), len(picked)), np.float32), np.zeros(len(rows), int), np.zeros(len(rows))
+    x, y, amount = np.zeros((len(rows), len(picked)), np.float32), np.zeros(len(rows), int), np.zeros(len(rows))
     for k, (label, data) in enumerate(rows):
         f = _unpacked(data)
         at = column[f[0]]
         x[k, at[at >= 0]] = np.log1p(f[1][at >= 0])
-        y[k], rate[k] = label, (odds[f[0]] * f[1]).sum() / max(1, f[1].sum())
-    cuts = np.quantile(rate[y == 1], np.arange(1, GRADES) / GRADES)
-    y[y == 1] = 1 + np.searchsorted(cuts, rate[y == 1])
+        y[k], amount[k] = label, (odds[f[0]] * np.log1p(f[1])).sum()
+    cuts = np.quantile(amount[y == 1], np.arange(1, GRADES) / GRADES)
+    y[y == 1] = 1 + np.searchsorted(cuts, amount[y == 1])
     weight, theta = fit_ordinal(x.astype(np.float64), y, GRADES)
     return ToxicityModel(column, weight, theta)
 
