@@ -1 +1 @@
-
+"""Readers of snapshots, change logs and catalogs."""
