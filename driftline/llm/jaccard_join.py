@@ -38,9 +38,12 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: Postings of one token that go to one task before its run is split.
 RUN_ROWS = 100_000
-#: Pairs that may be enumerated for each posting that is left.
+#: Meetings of postings that may be counted for each one that is left; with
+#: more, those that leave too little room are dropped as they meet.
 PAIRS_PER_ROW = 8
-#: Star rounds before the remaining pairs are enumerated in any case.
+#: Meetings for each posting from which stars are tried first, and their
+#: rounds before the remaining pairs are enumerated in any case.
+MEETINGS_PER_ROW = 1000
 STAR_ROUNDS = 6
 
 
@@ -143,7 +146,7 @@ def _prefixes(size: int, counters, num: int, den: int):
 def _runs(batches):
     """Rows sorted by (token, salt): those whose token another class has too,
     each with the first class of its run as leader. Carries one row."""
-    names = ["token", "salt", "cls", "n", "level", "at"]
+    names = ["token", "salt", "cls", "n", "level", "pos"]
     held = None
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
@@ -172,7 +175,7 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*names, "l_cls", "l_n", "l_level"])
 
 
-_RUN_SCHEMA = "token long, salt long, cls long, n long, level int, at int, l_cls long, l_n long, l_level int"
+_RUN_SCHEMA = "token long, salt long, cls long, n long, level int, pos int, l_cls long, l_n long, l_level int"
 
 
 def _overlaps(num: int, den: int):
@@ -210,20 +213,35 @@ class JaccardJoin:
         num, den, counters = self.num, self.den, self.counters
         rows = self.docs.mapInArrow(_prefixes(self.size, counters, num, den), "cls long, n long, level int, tokens array<long>")
         rows = rows.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-        base = F.expr(f"n - ({num} * n + {den - 1}) div {den}")
         hot = F.lit(int((counters.value > RUN_ROWS).any()))
-        rows = rows.select("cls", "n", "level", base.alias("base"), F.posexplode("tokens").alias("pos", "token"))
-        rows = rows.select("token", (hot * F.pmod(F.xxhash64("cls"), F.lit(1 + int(counters.value.max()) // RUN_ROWS))).alias("salt"), "cls", "n", "level", F.greatest(F.lit(1), F.col("pos") + 1 - F.col("base")).cast("int").alias("at"))
+        rows = rows.select("cls", "n", "level", F.posexplode("tokens").alias("pos", "token"))
+        rows = rows.select("token", (hot * F.pmod(F.xxhash64("cls"), F.lit(1 + int(counters.value.max()) // RUN_ROWS))).alias("salt"), "cls", "n", "level", (F.col("pos") + 1).alias("pos"))
         runs = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls").mapInArrow(_runs, _RUN_SCHEMA)
         return self.work.write(runs, "postings")
 
-    def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Of counted pairs (a, b, n_a, n_b, level_a, level_b, matched, shared)
-        those whose counts allow a link."""
+    def _pairs(self, near: DataFrame, early: bool) -> DataFrame:
+        """Pairs (a, b) of rows (a, b, n_a, n_b, level_a, level_b, pos_a,
+        pos_b), one for each shared token, that may be linked.
+
+        With l the lesser level, a linked pair's first l shared tokens have
+        level l at most, and each leaves room for the overlap that the sizes
+        need. ``early`` drops rows that leave too little before pairs are
+        counted, so what crosses the exchange is small where many rows meet;
+        else all shared tokens are counted, which bounds the overlap closer.
+        """
         num, den = self.num, self.den
-        rest = lambda n, level: f"(({num} * {n} + {den - 1}) div {den} - {level})"
+        least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"
         want = f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}"
-        return pairs.where(f"matched >= least(level_a, level_b) and shared + greatest({rest('n_a', 'level_a')}, {rest('n_b', 'level_b')}) >= {want}")
+        level = "least(level_a, level_b)"
+        if early:
+            near = near.where(f"{level} + least(n_a - pos_a, n_b - pos_b) >= {want}")
+        at = f"greatest(pos_a - n_a + {least('n_a')}, pos_b - n_b + {least('n_b')}) <= {level}"
+        counted = near.groupBy("a", "b", "n_a", "n_b", "level_a", "level_b").agg(F.count("*").alias("shared"), F.count(F.when(F.expr(at), 1)).alias("matched"))
+        counted = counted.where(f"matched >= {level}")
+        if not early:
+            rest = f"greatest({least('n_a')} - level_a, {least('n_b')} - level_b)"
+            counted = counted.where(f"shared + {rest} >= {want}")
+        return counted.select("a", "b")
 
     def _length(self, a: str, b: str):
         return F.expr(f"{self.num} * greatest({a}, {b}) <= {self.den} * least({a}, {b})")
@@ -252,41 +270,40 @@ class JaccardJoin:
 
     def _placed(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
         """Postings of tokens that still lie in several components."""
-        rows = postings.select("token", "cls", "n", "level", "at").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.select("token", "cls", "n", "level", "at", F.coalesce("root", "cls").alias("root"))
+        rows = postings.select("token", "cls", "n", "level", "pos").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        rows = rows.select("token", "cls", "n", "level", "pos", F.coalesce("root", "cls").alias("root"))
         groups = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
         mixed = groups.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")).where("most < all")
         return self.work.write(rows.join(mixed, "token"), "mixed")
 
     def _star(self, rows: DataFrame, turn: int) -> DataFrame:
-        lead = rows.groupBy("token").agg(F.min_by(F.struct("cls", "n", "level", "at", "root"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
+        """Pairs of each class with one more class of its tokens."""
+        lead = rows.groupBy("token").agg(F.min_by(F.struct("cls", "n", "level", "pos", "root"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
         near = rows.join(lead, "token").where("root <> lead.root").where(self._length("n", "lead.n"))
-        return self._counted(near.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), F.col("n").alias("n_a"), F.col("lead.n").alias("n_b"), F.col("level").alias("level_a"), F.col("lead.level").alias("level_b"), F.greatest("at", "lead.at").alias("at")))
-
-    def _all_pairs(self, rows: DataFrame) -> DataFrame:
-        a = rows.where("root <> main").select("token", "main", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "level", "at", "root")))
-        b = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "level", "at", "root")))
-        near = a.join(b, "token").where("root_a <> root_b and (root_b = main or cls_a < cls_b)").where(self._length("n_a", "n_b"))
-        flip = F.col("cls_a") <= F.col("cls_b")
-        ends = [F.when(flip, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{to}_{x}" if to else x) for c, to in (("cls", ""), ("n", "n"), ("level", "level")) for x, y in (("a", "b"), ("b", "a"))]
-        return self._counted(near.select(*ends, F.greatest("at_a", "at_b").alias("at")))
+        return self._pairs(_ends(near, ("", "lead.")), False)
 
-    def _counted(self, near: DataFrame) -> DataFrame:
-        counted = near.groupBy("a", "b", "n_a", "n_b", "level_a", "level_b").agg(F.count("*").alias("shared"), F.sum((F.col("at") <= F.least("level_a", "level_b")).cast("long")).alias("matched"))
-        return self._possible(counted).select("a", "b")
+    def _all_pairs(self, rows: DataFrame, early: bool) -> DataFrame:
+        """Pairs of classes in different components. A class of a token's main
+        component meets those outside it alone."""
+        names = ("cls", "n", "level", "pos", "root")
+        a = rows.where("root <> main").select("token", "main", F.struct(*names).alias("x"))
+        b = rows.select("token", F.struct(*names).alias("y"))
+        near = a.join(b, "token").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(self._length("x.n", "y.n"))
+        return self._pairs(_ends(near, ("x.", "y.")), early)
 
     def run(self) -> DataFrame:
-        classes = self.classes()
-        postings = self.postings(classes)
-        first = postings.where("cls <> l_cls").where(self._length("n", "l_n")).select(F.col("cls").alias("a"), F.col("l_cls").alias("b"), F.col("n").alias("n_a"), F.col("l_n").alias("n_b"), F.col("level").alias("level_a"), F.col("l_level").alias("level_b"), F.lit(1).alias("at"))
-        roots = self._joined(self.verify(self._counted(first)))
+        postings = self.postings(classes := self.classes())
+        first = postings.where("cls <> l_cls").where(self._length("n", "l_n"))
+        first = first.select(F.col("cls").alias("a"), F.col("l_cls").alias("b"), F.col("n").alias("n_a"), F.col("l_n").alias("n_b"), F.col("level").alias("level_a"), F.col("l_level").alias("level_b"), F.col("pos").alias("pos_a"), F.lit(1).alias("pos_b"))
+        roots = self._joined(self.verify(self._pairs(first, False)))
         for turn in range(STAR_ROUNDS + 1):
             rows = self._placed(postings, roots)
             work = rows.agg(F.count("*").alias("rows"), F.sum(F.expr("`all` - most")).alias("pairs")).first()
             if not work.rows:
                 break
-            if turn == STAR_ROUNDS or work.pairs <= max(PAIRS_PER_ROW * work.rows, 2_000_000):
-                roots = self._joined(self.verify(self._all_pairs(rows)))
+            several = max(work.rows, 100_000)
+            if turn == STAR_ROUNDS or work.pairs <= MEETINGS_PER_ROW * several:
+                roots = self._joined(self.verify(self._all_pairs(rows, work.pairs > PAIRS_PER_ROW * several)))
                 break
             roots = self._joined(self.verify(self._star(rows, turn)))
             self.work.drop(rows)
@@ -295,6 +312,15 @@ class JaccardJoin:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("doc_id")).alias("component_id"))
 
 
+def _ends(near: DataFrame, sides: tuple[str, str]) -> DataFrame:
+    """Both classes of a meeting, the smaller one as a."""
+    one, two = sides
+    flip = F.col(f"{one}cls") <= F.col(f"{two}cls")
+    pick = lambda c, x, y: F.when(flip, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}"))
+    names = {"cls": "", "n": "n_", "level": "level_", "pos": "pos_"}
+    return near.select(*[pick(c, x, y).alias(f"{to}{end}") for c, to in names.items() for end, x, y in (("a", one, two), ("b", two, one))])
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` (size of its set
     of ``size``-word shingles) and ``component_id``, the smallest doc_id that
