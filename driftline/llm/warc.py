@@ -67,7 +67,7 @@ class RecordReader:
     payload."""
 
     def __init__(self) -> None:
-        self._head, self._payload, self._left, self.fields = b"", hashlib.sha256(), -1, {}
+        self._head, self._payload, self._left, self._tail = b"", hashlib.sha256(), -1, b""
 
     def feed(self, data: bytes | memoryview) -> None:
         if self._left < 0:
@@ -76,26 +76,23 @@ class RecordReader:
             second = self._head.find(_END, first + 4) if first >= 0 else -1
             if second < 0:
                 return
-            lines = self._head[:second].decode().split("\r\n")
-            if lines[0] != "WARC/1.1":
+            outer, inner = self._head[:first].decode().split("\r\n"), self._head[first + 4 : second].decode().split("\r\n")
+            if outer[0] != "WARC/1.1":
                 raise ValueError("a record doesn't start with its version")
-            self.fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
-            inner = self._head[first + 4 : second].decode().split("\r\n")
+            self.fields = dict(x.split(": ", 1) for x in outer[1:])
             self.payload_bytes = next(int(x[15:]) for x in inner if x.startswith("Content-Length:"))
-            outer = dict(x.split(": ", 1) for x in self._head[:first].decode().split("\r\n")[1:])
-            self.fields = outer
-            self._left = int(outer["Content-Length"]) - (second + 4 - first - 4)
-            data, self._head = memoryview(self._head)[second + 4 :], b""
+            self._left = int(self.fields["Content-Length"]) - (second - first)
+            data, self._head = self._head[second + 4 :], b""
         part = memoryview(data)[: self._left]
         self._payload.update(part)
         self._left -= len(part)
-        self.tail = bytes(memoryview(data)[len(part) :])
+        self._tail += bytes(memoryview(data)[len(part) :])
 
     def result(self) -> tuple:
         """page_id, payload bytes, digest, type and the page referred to; the
         digest of a response is that of the bytes read, and must be the one in
         the head."""
-        if self._left != 0 or self.tail != _END:
+        if self._left != 0 or self._tail != _END:
             raise ValueError("a record is cut short or too long")
         named = self.fields["WARC-Payload-Digest"].removeprefix("sha256:")
         kind = self.fields["WARC-Type"]
