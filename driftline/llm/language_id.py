@@ -35,7 +35,7 @@ MOST_LANGUAGES = 200
 #: REJECT_FLOOR in any case. Short texts vary more, so the limit is per
 #: power of two of n-grams.
 REJECT_QUANTILE = 0.999
-REJECT_FACTOR = 1.15
+REJECT_FACTOR = 1.25
 
 
 #: Lower-case letters and the bytes of other scripts; all else is a blank.
