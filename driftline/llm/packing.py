@@ -10,13 +10,14 @@ method does with its smallest class.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import groups
+from . import textvec
 from .storage import ship
 
 CAPACITY = 4096
@@ -26,9 +27,14 @@ CAPACITY = 4096
 CLASSES = (1, 2, 4, 8, 16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024, 2048, 4096)
 FULL_CLASSES = 5
 END_ID = 2
-#: Words whose ids a Python worker remembers, and the longest one.
-REMEMBERED = 500_000
-LONGEST = 64
+#: Words whose ids a Python worker remembers before it starts anew: about 60
+#: bytes each.
+REMEMBERED = 3_000_000
+#: ASCII marks that the tokenizer always splits from a letter or digit before.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -81,29 +87,143 @@ class Packer:
         return out + (self._close(held) if held else [])
 
 
+class WordTable:
+    """From 64-bit word hashes to ids: open addressing in NumPy arrays, the ids
+    of all words end to end in one."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place, self.words = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+        self.start, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.ids, self.used = np.zeros(1 << 17, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for one not met."""
+        mask = np.uint64(len(self.keys) - 1)
+        out, open_, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), keys & mask
+        while len(open_):
+            found = self.keys[slot]
+            same = found == keys[open_]
+            out[open_[same]] = self.place[slot[same]]
+            more = ~same & (found != 0)
+            open_, slot = open_[more], (slot[more] + np.uint64(1)) & mask
+        return out
+
+    def _insert(self, keys: np.ndarray, places: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            first = np.zeros(len(keys), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            take = free & first
+            self.keys[slot[take]], self.place[slot[take]] = keys[take], places[take]
+            keys, places, slot = keys[~take], places[~take], (slot[~take] + np.uint64(1) * (~free[~take]).astype(np.uint64)) & mask
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Distinct new words with their ids."""
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        while self.words + len(keys) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        places = np.arange(self.words, self.words + len(keys), dtype=np.int32)
+        self.start[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.words, self.used = self.words + len(keys), self.used + len(flat)
+        if 2 * self.words > len(self.keys):
+            held = self.keys != 0
+            keys, places = np.concatenate([self.keys[held], keys]), np.concatenate([self.place[held], places])
+            self.keys, self.place = np.zeros(4 * len(self.keys), np.uint64), np.zeros(4 * len(self.place), np.int32)
+        self._insert(keys, places)
+
+
 class WordIds:
-    """Ids of texts by a word-splitting tokenizer file. The tokenizer never
-    joins what ASCII blanks part, so a text's ids are those of its words, and
-    recurring words are looked up."""
+    """Ids of texts by a lower-casing, word-splitting tokenizer file. The
+    tokenizer never joins what ASCII blanks part, so a text's ids are those of
+    its words; and what it splits inside a word, a mark at the end after an
+    ASCII letter or digit, is a word of its own here. Words are told apart by
+    their hashes, and each one goes through the tokenizer when it is first met.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.table = Tokenizer.from_file(path), WordTable()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)}
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words. Lower-case ASCII letters pass the tokenizer's
+        normaliser and splitter as they are, so its model takes them alone;
+        other words of letters go in runs, as each ends in its last token;
+        the rest one by one."""
+        out, alike, other = [None] * len(words), [], []
+        tokenize = self.tokenizer.model.tokenize
+        for i, w in enumerate(words):
+            text = w.decode()
+            if not text.isalpha():
+                other.append((i, text))
+            elif not text.isascii():
+                alike.append((i, text))
+            elif text.islower():
+                out[i] = [t.id for t in tokenize(text)]
+            else:
+                other.append((i, text))
+        runs = [alike[k : k + 50] for k in range(0, len(alike), 50)]
+        for run, found in zip(runs, self._batch([" ".join(t for _, t in r) for r in runs]), strict=True):
+            ends = [k + 1 for k, x in enumerate(found) if x in self.ends]
+            if len(ends) != len(run) or ends[-1] != len(found):  # a word that isn't one word after all
+                other += run
+                continue
+            for (i, _), start, end in zip(run, [0, *ends], ends, strict=False):
+                out[i] = found[start:end]
+        for (i, _), found in zip(other, self._batch([t for _, t in other]), strict=True):
+            out[i] = found
+        return out
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [t.encode().split() for t in texts]
-        words = list(set().union(*split).difference(self.known)) if split else []
-        new = dict(zip(words, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)), strict=True)) if words else {}
-        long = {w: x for w, x in new.items() if len(w) > LONGEST}
-        self.known.update(new if not long else {w: x for w, x in new.items() if len(w) <= LONGEST})
-        known = self.known
-        if not long:
-            return [b"".join([known[w] for w in s]) for s in split]
-        return [b"".join([long[w] if w in long else known[w] for w in s]) for s in split]
+    def encode(self, s: textvec.Slice) -> list[np.ndarray]:
+        """Ids of each text of a slice."""
+        w = textvec.words(s)
+        start, end, hashes, first = w.start, w.end, w.hash, w.first
+        mark = _MARK[s.data[end - 1]] & (end - start > 1) & _ALNUM[s.data[end - 2]] if len(end) else np.zeros(0, bool)
+        if mark.any():
+            cut = np.flatnonzero(mark)
+            at = np.arange(len(start)) + np.cumsum(mark) - mark
+            n = len(start) + len(cut)
+            starts, ends = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            starts[at], ends[at] = start, end - mark
+            starts[at[cut] + 1], ends[at[cut] + 1] = end[cut] - 1, end[cut]
+            first = first + np.append(0, np.cumsum(mark))[first]
+            start, end, hashes = starts, ends, w.span_hash(starts, ends)
+        hashes = np.maximum(hashes, np.uint64(1))
+        table = self.table
+        if table.words > REMEMBERED or table.used > 8 * REMEMBERED:
+            table.clear()
+        place = table.find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            keys, one = np.unique(hashes[new], return_index=True)
+            data = s.data.tobytes().lower()
+            table.add(keys, self._encode([data[i:j] for i, j in zip(start[new[one]].tolist(), end[new[one]].tolist(), strict=True)]))
+            place[new] = table.find(hashes[new])
+        size = table.size[place]
+        total = np.append(0, np.cumsum(size))
+        ids = table.ids[np.repeat(table.start[place] - total[:-1], size) + np.arange(total[-1])]
+        bounds = total[first].tolist()
+        out = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        if b"<|" in s.data.tobytes():  # a special token may be spelled, and its case counts
+            for k in range(len(s)):
+                text = s.data[s.bounds[k] : s.bounds[k + 1]].tobytes()
+                if b"<|" in text:
+                    out[k] = np.array(self._batch([text.decode()])[0], np.uint32)
+        return out
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -133,9 +253,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
         packer = Packer(TaskContext.get().partitionId() << 36, capacity)
         for b in batches:
             names, at, rows = b.column(0).to_pylist(), 0, []
-            for some in groups(b.column(1).to_pylist()):
-                for ids in tokenizer.encode_batch(some):
-                    data = memoryview(ids + end)
+            for s in textvec.slices(b.column(1)):
+                for ids in tokenizer.encode(s):
+                    data = memoryview(ids.tobytes() + end)
                     tokens, start = len(data) // 4, 0
                     for k, length in cut(tokens, capacity):
                         part = data[4 * start : 4 * (start + length)]
