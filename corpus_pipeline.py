@@ -16,7 +16,9 @@ from driftline.llm.storage import Workspace, small_or_shuffled
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't in ``gone``; null ids stay."""
+    """The documents whose id isn't in ``gone``; null ids stay. The ids are
+    written first, so that what found them runs once."""
+    gone = Workspace(docs.sparkSession, "dropped").write(gone, "ids")
     return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
