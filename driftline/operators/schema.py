@@ -158,7 +158,7 @@ def as_of(events: DataFrame, versions: DataFrame, at: str = "commit_lsn", exact:
 def as_of_broadcast(events: DataFrame, versions: DataFrame, at: str = "commit_lsn", limit: int = 100_000) -> DataFrame:
     """The same for few versions (checked): each table's versions become one
     sorted array beside its events, so events aren't exchanged at all."""
-    if versions.limit(limit + 1).count() > limit:
+    if versions.count() > limit:
         return as_of(events, versions, at)
     by_table = versions.groupBy("table_id").agg(F.sort_array(F.collect_set("snapshot_id")).alias("_versions"))
     return events.join(F.broadcast(by_table), "table_id", "left").withColumn("snapshot_id", F.try_element_at(F.filter("_versions", lambda v: v <= F.col(at)), F.lit(-1))).drop("_versions")
