@@ -121,6 +121,68 @@ class VersionedTable:
             path.getFileSystem(conf).delete(path, True)
 
 
+class BucketedTable:
+    """A keyed table in hash buckets, of which a batch rewrites those it touches.
+
+    The manifest's newest row maps each bucket to the version that holds it, so
+    publishing costs what the batch touches and not what the table holds, and a
+    reader sees one manifest or the other. Buckets are columns of the files'
+    paths: a read of some buckets opens no other.
+    """
+
+    MANIFEST = "version long, batch_id long, applied string, buckets map<int,long>"
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], schema: str, buckets: int = 64):
+        self.spark, self.root, self.keys, self.schema, self.buckets = spark, root.rstrip("/"), list(keys), schema, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def head(self):
+        from pyspark.errors import AnalysisException
+
+        try:
+            rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.root}/manifest").orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException:
+            return None
+        return rows[0] if rows else None
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The live rows, of all buckets or of some."""
+        live = self.head()
+        held = {} if live is None else {b: v for b, v in live.buckets.items() if buckets is None or b in set(buckets)}
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/data/v{v}/bucket={b}" for b, v in sorted(held.items())))
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows' keys: as many numbers as buckets at most."""
+        return [r[0] for r in rows.select(self.bucket()).distinct().collect()]
+
+    def publish(self, rows: DataFrame, touched: Sequence[int], batch_id: int | None = None, applied: str | None = None) -> int:
+        """Make ``rows`` all that the touched buckets hold."""
+        live = self.head()
+        version = 1 if live is None else live.version + 1
+        path = f"{self.root}/data/v{version}"
+        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        full = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).select("bucket").distinct().collect()}
+        held = {b: v for b, v in (live.buckets if live else {}).items() if b not in set(touched)} | dict.fromkeys(full, version)
+        entry = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(applied).cast("string").alias("applied"), F.expr("map_from_entries(array(" + ", ".join(f"struct({b}, {v}L)" for b, v in sorted(held.items())) + "))" if held else "cast(map() as map<int,bigint>)").alias("buckets"))
+        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        return version
+
+    def drop_unreferenced(self, keep: int = 2) -> list[int]:
+        """Delete versions that no bucket lives in, but the newest ``keep``."""
+        live = self.head()
+        used = set(live.buckets.values()) if live else set()
+        jvm, conf, gone = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), []
+        for version in range(1, (live.version if live else 0) - keep + 1):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/v{version}")
+            if version not in used and path.getFileSystem(conf).delete(path, True):
+                gone.append(version)
+        return gone
+
+
 def write_chunked(rows: DataFrame, path: str, rows_per_file: int = 1_000_000, codec: str = "zstd") -> None:
     """Append Parquet files of bounded size."""
     rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("compression", codec).parquet(path)

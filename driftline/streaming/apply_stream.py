@@ -1,8 +1,8 @@
-"""Continuous apply: a log stream into a versioned current-state table.
+"""Continuous apply: a log stream into a bucketed current-state table.
 
-Each micro-batch folds into the table by one anti-join and union and is
-published together with its batch number and watermark, so that a batch that
-is delivered again after a failure changes nothing.
+Each micro-batch is combined with the buckets whose keys it has, and these are
+published together with the batch number and watermark, so a batch that is
+delivered again after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -13,28 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import apply, log
-from driftline.operators.sinks import VersionedTable
+from driftline.operators.sinks import BucketedTable
 
 
 class StreamingApply:
     """``foreachBatch`` target. ``prepare`` turns a batch of the source into
     legs ``(keys, seq, sub, deleted, values)``."""
 
-    def __init__(self, target: VersionedTable, keys: Sequence[str], values: Sequence[str], prepare: Callable[[DataFrame], DataFrame]):
-        self.target, self.keys, self.values, self.prepare = target, list(keys), list(values), prepare
+    def __init__(self, target: BucketedTable, values: Sequence[str], prepare: Callable[[DataFrame], DataFrame]):
+        self.target, self.keys, self.values, self.prepare = target, target.keys, list(values), prepare
+        self.columns = [*self.keys, "seq", "sub", "deleted", *self.values]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         live = self.target.head()
         if live is not None and live.batch_id is not None and live.batch_id >= batch_id:
             return  # delivered before
-        legs = self.prepare(batch)
-        columns = [*self.keys, "seq", "sub", "deleted", *self.values]
-        if live is not None:
-            legs = self.target.read().select(*columns).unionByName(legs.select(*columns))
-        #: Tombstones stay in the store, so that a late older event can't revive a key.
-        rows = apply.last_writer_wins(legs.select(*columns), self.keys, ["seq", "sub"], self.values, tombstones=True)
-        self.target.publish(rows.select(*columns), batch_id, None)
-        self.target.drop_versions_before((live.version if live else 0) - 1)
+        legs = self.prepare(batch).select(*self.columns).persist()
+        try:
+            touched = self.target.touched(legs)
+            #: Tombstones stay in the store, so that a late older event can't revive a key.
+            every = self.target.read(touched).select(*self.columns).unionByName(legs)
+            rows = apply.last_writer_wins(every, self.keys, ["seq", "sub"], self.values, tombstones=True)
+            last = legs.agg(F.max("seq")).first()[0]
+            self.target.publish(rows.select(*self.columns), touched, batch_id, last)
+        finally:
+            legs.unpersist()
+        self.target.drop_unreferenced()
 
     def current(self) -> DataFrame:
         return self.target.read().where(~F.col("deleted")).select(*self.keys, *self.values)
@@ -45,6 +49,10 @@ def start(stream: DataFrame, target: StreamingApply, checkpoint: str, **trigger)
     return stream.writeStream.foreachBatch(target).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+#: The stored state of :func:`events_to_legs`.
+EVENT_STATE = "k long, seq string, sub int, deleted boolean, event_type string, value double"
+
+
 def events_to_legs(batch: DataFrame) -> DataFrame:
     from driftline.functions.lsn import sequence_key
     from driftline.sources.changelog import from_events
@@ -64,7 +72,7 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    target = StreamingApply(VersionedTable(spark, f"{root}/table", f"current_{uuid.uuid4().hex}"), ["k"], ["event_type", "value"], events_to_legs)
+    target = StreamingApply(BucketedTable(spark, f"{root}/table", ["k"], EVENT_STATE, 8), ["event_type", "value"], events_to_legs)
     query = start(stream, target, f"{root}/checkpoint", availableNow=True)
     query.awaitTermination()
     if query.exception():

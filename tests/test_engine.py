@@ -134,7 +134,7 @@ def test_catalog(spark):
 
 
 def test_stream_survives_restart_and_repeats(spark, tmp_path):
-    from driftline.operators.sinks import VersionedTable
+    from driftline.operators.sinks import BucketedTable
     from driftline.streaming import apply_stream
 
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
@@ -142,10 +142,30 @@ def test_stream_survives_restart_and_repeats(spark, tmp_path):
     source, check = tmp_path / "in", str(tmp_path / "check")
     for part in (1, 0, 2):  # out of order
         events.where(f"event_id % 3 = {part}").coalesce(1).write.mode("append").parquet(str(source))
-        target = apply_stream.StreamingApply(VersionedTable(spark, str(tmp_path / "t"), "stream_view"), ["k"], ["event_type", "value"], apply_stream.events_to_legs)
+        target = apply_stream.StreamingApply(BucketedTable(spark, str(tmp_path / "t"), ["k"], apply_stream.EVENT_STATE, 5), ["event_type", "value"], apply_stream.events_to_legs)
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
         apply_stream.start(stream, target, check, availableNow=True).awaitTermination()
     assert {tuple(r) for r in target.current().collect()} == whole
-    before = target.target.head().version
-    target(events.limit(5), target.target.head().batch_id)  # a batch that comes again
-    assert target.target.head().version == before and {tuple(r) for r in target.current().collect()} == whole
+    before = target.target.head()
+    target(events.limit(5), before.batch_id)  # a batch that comes again
+    assert target.target.head().version == before.version and {tuple(r) for r in target.current().collect()} == whole
+
+
+def test_bucketed_table_rewrites_what_is_touched(spark, tmp_path):
+    from driftline.operators.sinks import BucketedTable
+
+    t = BucketedTable(spark, str(tmp_path / "t"), ["k"], "k long, v string", 8)
+    assert t.head() is None and t.read().count() == 0
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    t.publish(rows, t.touched(rows), 0)
+    one = rows.where("k = 7").withColumn("v", F.lit("b"))
+    touched = t.touched(one)
+    assert len(touched) == 1
+    kept = t.read(touched).where("k <> 7")
+    assert 0 < kept.count() < 50
+    t.publish(kept.unionByName(one), touched, 1)
+    assert {(r.k, r.v) for r in t.read().collect()} == {(i, "b" if i == 7 else "a") for i in range(100)}
+    assert sorted(set(t.head().buckets.values())) == [1, 2]
+    gone = t.read(touched).limit(0)
+    t.publish(gone, touched, 2)
+    assert t.read().count() == 100 - kept.count() - 1 and t.drop_unreferenced(1) == [2]
