@@ -125,27 +125,31 @@ def prefix(x: np.ndarray, counts: np.ndarray, load: float, num: int, den: int) -
     return level, x[order[: n - least + level]]
 
 
-def _prefixes(size: int, counters, num: int, den: int):
+def _prefixes(size: int, counters, num: int, den: int, run_rows: int):
+    """Each set's prefix, and those of its tokens whose run may be too long."""
+
     def run(batches):
         counts = counters.value
         load = float(counts.mean())
         for b in batches:
             ids = b.column(0).to_pylist()
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for s in textvec.slices(b.column(1)):
                 for k, x in enumerate(text_sets(s, size)):
                     if len(x) and ids[s.first + k] is not None:
                         level, tokens = prefix(x, counts, load, num, den)
-                        for to, value in zip(out, (ids[s.first + k], len(x), level, tokens.view(np.int64)), strict=True):
+                        often = tokens[counts[(tokens >> textvec.U64(64 - COUNTER_BITS)).astype(np.int64)] - load > run_rows]
+                        for to, value in zip(out, (ids[s.first + k], len(x), level, tokens.view(np.int64), often.view(np.int64)), strict=True):
                             to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], names=["cls", "n", "level", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["cls", "n", "level", "tokens", "often"])
 
     return run
 
 
 def _runs(batches):
     """Rows sorted by (token, salt): those whose token another class has too,
-    each with the first class of its run as leader. Carries one row."""
+    each with the first class of its run as leader. A salted token (salt above
+    0) has more classes in other runs, so all of its rows stay. Carries one row."""
     names = ["token", "salt", "cls", "n", "level", "pos"]
     held = None
     for b in batches:
@@ -160,7 +164,8 @@ def _runs(batches):
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, m))
         leader = np.repeat(first, length)
-        keep = np.repeat(length > 1, length)
+        salted = cols[1] > 0
+        keep = np.repeat(length > 1, length) | salted
         lead = [cols[i][leader] for i in (2, 3, 4)]
         if held is not None:
             keep[0] = keep[0] and not held[1]
@@ -168,9 +173,8 @@ def _runs(batches):
             if held[2] is not None:
                 for x, value in zip(lead, held[2], strict=True):
                     x[same] = value
-        keep[m - 1] = keep[m - 1] and length[-1] > 1
         out = [c[keep] for c in cols] + [x[keep] for x in lead]
-        shown = length[-1] > 1 or (held is not None and leader[-1] == 0 and held[1])
+        shown = keep[m - 1] or (held is not None and leader[-1] == 0 and held[1])
         held = ([c[-1:] for c in cols], bool(shown), tuple(x[-1] for x in lead))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*names, "l_cls", "l_n", "l_level"])
 
@@ -211,11 +215,12 @@ class JaccardJoin:
 
     def postings(self, classes: DataFrame) -> DataFrame:
         num, den, counters = self.num, self.den, self.counters
-        rows = self.docs.mapInArrow(_prefixes(self.size, counters, num, den), "cls long, n long, level int, tokens array<long>")
+        rows = self.docs.mapInArrow(_prefixes(self.size, counters, num, den, RUN_ROWS), "cls long, n long, level int, tokens array<long>, often array<long>")
         rows = rows.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-        hot = F.lit(int((counters.value > RUN_ROWS).any()))
-        rows = rows.select("cls", "n", "level", F.posexplode("tokens").alias("pos", "token"))
-        rows = rows.select("token", (hot * F.pmod(F.xxhash64("cls"), F.lit(1 + int(counters.value.max()) // RUN_ROWS))).alias("salt"), "cls", "n", "level", (F.col("pos") + 1).alias("pos"))
+        rows = rows.select("cls", "n", "level", "often", F.posexplode("tokens").alias("pos", "token"))
+        parts = 1 + int(counters.value.max()) // RUN_ROWS
+        salt = F.when(F.array_contains("often", F.col("token")), 1 + F.pmod(F.xxhash64("cls"), F.lit(parts))).otherwise(0).cast("long")
+        rows = rows.select("token", salt.alias("salt"), "cls", "n", "level", (F.col("pos") + 1).alias("pos"))
         runs = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls").mapInArrow(_runs, _RUN_SCHEMA)
         return self.work.write(runs, "postings")
 

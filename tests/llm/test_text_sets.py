@@ -96,7 +96,8 @@ def test_join_of_one_group_whose_members_differ(spark, frame, monkeypatch):
         rows.append((k, " ".join(w)))
     _, links = jaccard_links(rows, 4, 85, 100)
     root = components_of([i for i, _ in rows], links)
-    for most, few in ((1000, 8), (0, 0)):
+    for most, few, run in ((1000, 8, 100_000), (0, 0, 100_000), (1000, 0, 2)):
+        monkeypatch.setattr(jaccard_join, "RUN_ROWS", run)
         monkeypatch.setattr(jaccard_join, "MEETINGS_PER_ROW", most)
         monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", few)
         assert {r.doc_id: r.component_id for r in jaccard_components(spark, frame(rows)).collect()} == root
@@ -125,3 +126,26 @@ def test_components(spark):
     out = {r.node: r.root for r in connected_components(spark, edges, Workspace(spark, "test")).collect()}
     assert out == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
     assert connected_components(spark, edges.limit(0), Workspace(spark, "test")).count() == 0
+
+
+def test_runs_do_not_depend_on_batches():
+    from driftline.llm.jaccard_join import _runs
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(r.integers(1, 40))
+        token = np.sort(r.integers(0, 12, n))
+        salt = np.where(token % 5 == 0, r.integers(1, 3, n), 0)
+        order = np.lexsort((np.arange(n), salt, token))
+        cols = [token[order], salt[order], np.arange(n), r.integers(1, 9, n), r.integers(1, 4, n).astype(np.int32), r.integers(1, 9, n).astype(np.int32)]
+        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcdef"))
+        rows = list(zip(*(c.tolist() for c in cols), strict=True))
+        want = []
+        for x in rows:
+            run = [y for y in rows if y[:2] == x[:2]]
+            if len(run) > 1 or x[1] > 0:
+                want.append((*x, *run[0][2:5]))
+        cuts = np.unique(np.append([0, n], r.integers(0, n, 6)))
+        parts = [whole.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [whole.slice(0, 0)]
+        out = [tuple(t.values()) for b in _runs(iter(parts)) for t in b.to_pylist()]
+        assert out == want
