@@ -29,7 +29,7 @@ FULL_CLASSES = 5
 END_ID = 2
 #: Words whose ids a Python worker remembers before it starts anew: about 60
 #: bytes each.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 #: ASCII marks that the tokenizer always splits from a letter or digit before.
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -137,7 +137,8 @@ class WordTable:
         if 2 * self.words > len(self.keys):
             held = self.keys != 0
             keys, places = np.concatenate([self.keys[held], keys]), np.concatenate([self.place[held], places])
-            self.keys, self.place = np.zeros(4 * len(self.keys), np.uint64), np.zeros(4 * len(self.place), np.int32)
+            slots = 1 << (2 * self.words).bit_length()
+            self.keys, self.place = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self._insert(keys, places)
 
 

@@ -20,15 +20,23 @@ BROADCAST_ROWS = 1_000_000
 
 _SHIPPED: set[str] = set()
 
+#: Sizes of Arrow batches for columns of whole texts, where the session has
+#: Spark's defaults: both ends of the pipe hold one or two of them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application,
-    unless they start with its folder on their path."""
+    """Make a session ready: smaller Arrow batches, and this package for the
+    executors' Python workers, which need not see the driver's folders. The
+    package goes once an application."""
+    for key, (default, wanted) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, wanted)
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if app in _SHIPPED:
         return
-    path = Path(tempfile.mkdtemp(), "driftline-package.zip")
+    path = Path(os.path.realpath(tempfile.mkdtemp()), "driftline-package.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted((root / "driftline").rglob("*.py")):
             z.write(f, f.relative_to(root))
@@ -49,13 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results read from
+    them lazily, so call it when those have been written."""
+    delete(spark, application_dir(spark))
+
+
 class Workspace:
     """Named Parquet tables of one run, below one folder of its own."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/driftline/{name}-{uuid.uuid4().hex}"
+        self.root = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def path(self, name: str) -> str:
