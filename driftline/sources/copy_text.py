@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.decode import copy_fields, copy_unescape, decode
+from driftline.functions.decode import copy_fields, copy_values, decode
 
 
 def decode_copy(lines: DataFrame, columns: Sequence[tuple[str, str]], line: str = "value", with_bytes: bool = False, strict: bool = True) -> DataFrame:
     """Rows of a COPY text stream, one line each. ``columns``: (name, Postgres
     type) in order. ``with_bytes`` adds the wire size of each row, its line
     break included."""
-    fields = lines.select(copy_fields(F.col(line), len(columns)).alias("f"), (F.octet_length(line) + 1).cast("long").alias("wire_bytes"))
-    typed = [decode(copy_unescape(F.col("f")[i]), t, strict=strict).alias(n) for i, (n, t) in enumerate(columns)]
-    return fields.select(*typed, *(["wire_bytes"] if with_bytes else []))
+    wire = (F.octet_length(line) + 1).cast("long").alias("wire_bytes")
+    fields = lines.select(F.col(line).alias("line"), copy_fields(F.col(line), len(columns)).alias("f"), *([wire] if with_bytes else []))
+    values, escaped = copy_values(F.col("line"), F.col("f"))
+    fields = fields.select(values.alias("f"), escaped.alias("escaped"), *(["wire_bytes"] if with_bytes else []))
+    #: A NULL mark is one still where nothing was resolved; else it is NULL by now.
+    texts = fields.select(*[F.when(F.col("escaped") | (F.col("f")[i] != "\\N"), F.col("f")[i]).alias(f"f{i}") for i in range(len(columns))], *(["wire_bytes"] if with_bytes else []))
+    typed = [decode(F.col(f"f{i}"), t, strict=strict).alias(n) for i, (n, t) in enumerate(columns)]
+    return texts.select(*typed, *(["wire_bytes"] if with_bytes else []))
 
 
 def read_copy(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]], **options) -> DataFrame:

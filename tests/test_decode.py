@@ -85,6 +85,8 @@ def test_copy_lines(spark):
     lines = spark.createDataFrame([("t\t\\N\t12\t{1,NULL}",), ("f\ta\\tb\t-3\t{}",)], "value string")
     out = decode_copy(lines, [("a", "bool"), ("b", "text"), ("c", "int8"), ("d", "int4[]")], with_bytes=True).collect()
     assert [tuple(r) for r in out] == [(True, None, 12, [1, None], 17), (False, "a\tb", -3, [], 13)]
+    marked = spark.createDataFrame([("\\\\N\t\\N",), ("\\N\t\\\\",), ("\\N\t\\N",), ("N\tx",)], "value string")
+    assert [tuple(r) for r in decode_copy(marked, [("a", "text"), ("b", "text")]).collect()] == [("\\N", None), (None, "\\"), (None, None), ("N", "x")]
     with pytest.raises(PySparkException):
         decode_copy(lines, [("a", "bool")]).collect()
     assert decode_copy(lines.limit(0), [("a", "bool")]).count() == 0

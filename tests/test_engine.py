@@ -125,8 +125,8 @@ def test_maintenance(spark, tmp_path):
 
 
 def test_catalog(spark):
-    tables = spark.createDataFrame([(1, "public", "a"), (2, "pg_catalog", "b"), (3, "pg_toast_1", "c"), (4, "etl", "d")], "table_id int, schema_name string, table_name string")
-    assert [r.table_id for r in catalog.replicable_tables(tables, ("etl",)).collect()] == [1]
+    tables = spark.createDataFrame([(1, "public", "a"), (2, "pg_catalog", "b"), (3, "pg_toast_1", "c"), (4, "internal", "d")], "table_id int, schema_name string, table_name string")
+    assert [r.table_id for r in catalog.replicable_tables(tables, ("internal",)).collect()] == [1]
     inherits = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)], "parent_id int, child_id int")
     assert {(r.table_id, r.root_id) for r in catalog.roots(inherits).collect()} == {(i, 1) for i in range(2, 7)}
     assert [r.table_id for r in catalog.publication_tables(spark.createDataFrame([(6,), (1,)], "table_id int"), inherits).collect()] == [1]
