@@ -72,29 +72,66 @@ def with_snapshot(snapshot: DataFrame, legs: DataFrame) -> DataFrame:
     return rows.select(*legs.columns).unionByName(legs)
 
 
-def segments(log: DataFrame, table: str, order: Sequence[str], version: str) -> DataFrame:
+def _spans(log: DataFrame, spread: Column | None, parts: int) -> DataFrame:
+    """``_span``: which of about ``parts`` equal stretches of ``spread`` a row
+    is in. Bounds are quantiles, so a table that holds most of the log is split
+    too. Without ``spread`` all is one stretch."""
+    if spread is None:
+        return log.withColumn("_span", F.lit(0))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = log.agg(F.percentile_approx(spread.cast("double"), shares, F.lit(1000)).alias("b")).first().b or []
+    cuts = sorted(set(bounds))
+    span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < spread.cast("double"))) if cuts else F.lit(0)
+    return log.withColumn("_span", span)
+
+
+def _running(log: DataFrame, table: str, order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Running total of ``amount`` in a table's order, over rows with spans:
+    what the earlier spans hold, plus the total within the row's own. A sort
+    sees one span of one table and no more."""
+    rows = log.withColumn("_amount", amount)
+    sums = rows.groupBy(table, "_span").agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(table).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(table, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(sums, F.col(table).eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_s")))
+    return joined.withColumn(name, (F.col("_before") + F.sum("_amount").over(within)).cast("long")).drop("_amount", "_before", "_t", "_s")
+
+
+def sequence_position(seq: Column) -> Column:
+    """A number that grows with a sequence key, to spread a log by."""
+    return F.conv(F.substring(seq, 1, 13), 16, 10).cast("double") * 4096 + F.conv(F.substring(seq, 14, 3), 16, 10).cast("double")
+
+
+def segments(log: DataFrame, table: str, order: Sequence[str], version: str, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Numbers runs of one schema version in a table's log."""
-    w = Window.partitionBy(table).orderBy(*order)
-    changed = (~F.lag(version).over(w).eqNullSafe(F.col(version))).cast("int")
-    return log.withColumn("_changed", changed).withColumn("segment", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_changed")
+    rows = _spans(log, spread, parts)
+    at = F.struct(*order)
+    ends = rows.groupBy(table, "_span").agg(F.max_by(F.struct(F.col(version).alias("v")), at).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(table).orderBy("_span"))
+    ends = ends.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), before.alias("_prior"))
+    rows = rows.join(ends, F.col(table).eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_s"))).drop("_t", "_s")
+    w = Window.partitionBy(table, "_span").orderBy(*order)
+    prior = F.coalesce(F.lag(F.struct(F.col(version).alias("v"))).over(w), F.col("_prior"))
+    rows = rows.withColumn("_changed", F.when(prior.isNotNull() & prior["v"].eqNullSafe(F.col(version)), 0).otherwise(1))
+    return _running(rows, table, order, F.col("_changed"), "segment").drop("_changed", "_prior", "_span")
 
 
-def barriers(log: DataFrame, table: str, order: Sequence[str]) -> DataFrame:
+def barriers(log: DataFrame, table: str, order: Sequence[str], spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Numbers accumulation runs: a relation or truncate ends the one before."""
-    w = Window.partitionBy(table).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("run", F.sum(F.col("op").isin("R", "T").cast("int")).over(w))
+    return _running(_spans(log, spread, parts), table, order, F.col("op").isin("R", "T").cast("int"), "run").drop("_span")
 
 
-def mutation_batches(log: DataFrame, table: str, order: Sequence[str], size: int = 16) -> DataFrame:
+def mutation_batches(log: DataFrame, table: str, order: Sequence[str], size: int = 16, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Atomic batches of up to ``size`` mutations of a table, in order."""
-    place = F.row_number().over(Window.partitionBy(table).orderBy(*order)) - 1
-    return log.withColumn("batch", F.floor(place / size).cast("long"))
+    placed = _running(_spans(log, spread, parts), table, order, F.lit(1), "_place").drop("_span")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
-def byte_batches(log: DataFrame, partition: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
+def byte_batches(log: DataFrame, table: str, order: Sequence[str], size: str, budget: int, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Batches by decoded size: the running total before a row, in budgets."""
-    w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("batch", F.floor((F.sum(size).over(w) - F.col(size)) / budget).cast("long"))
+    placed = _running(_spans(log, spread, parts), table, order, F.col(size), "_total").drop("_span")
+    return placed.withColumn("batch", F.floor((F.col("_total") - F.col(size)) / budget).cast("long")).drop("_total")
 
 
 def distinct_events(log: DataFrame, identity: Sequence[str] = ("table_id", "commit_lsn", "tx_ordinal")) -> DataFrame:

@@ -130,7 +130,7 @@ mark as (select max(seq) as applied from log where event_id < 300)
 select batch, first_seq, last_seq, events, case when applied < first_seq then 'apply' when applied >= last_seq then 'skip' else 'error' end as decision from batches, mark""")
 def replay_decision(spark, sf_dir):
     changes = change_log(spark, sf_dir)
-    batches = apply.mutation_batches(changes, "table_id", ["seq"]).groupBy("batch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("events"))
+    batches = apply.mutation_batches(changes, "table_id", ["seq"], spread=apply.sequence_position(F.col("seq"))).groupBy("batch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("events"))
     mark = changes.where("event_id < 300").agg(F.max("seq").alias("applied"))
     return batches.crossJoin(mark).select("batch", "first_seq", "last_seq", "events", apply.replay_decision(F.col("first_seq"), F.col("last_seq"), F.col("applied")).alias("decision"))
 
@@ -138,14 +138,14 @@ def replay_decision(spark, sf_dir):
 @query(f"with {LOG}, placed as (select *, (row_number() over (partition by user_id order by seq) - 1) // 16 as batch from log) select user_id, batch, min(seq) as first_seq, max(seq) as last_seq, count(*) as events from placed group by user_id, batch")
 def mutation_batches(spark, sf_dir):
     """Atomic batches of 16, each user standing for a table."""
-    placed = apply.mutation_batches(change_log(spark, sf_dir), "user_id", ["seq"])
+    placed = apply.mutation_batches(change_log(spark, sf_dir), "user_id", ["seq"], spread=apply.sequence_position(F.col("seq")))
     return placed.groupBy("user_id", "batch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("events"))
 
 
 @query(f"with {LOG}, sized as (select *, octet_length(encode(event_type)) + octet_length(encode(props)) as size from log), run as (select *, sum(size) over (partition by user_id order by seq rows unbounded preceding) - size as before from sized) select user_id, cast(before // 64 as bigint) as batch, count(*) as events, cast(sum(size) as bigint) as bytes from run group by 1, 2")
 def byte_budget_batches(spark, sf_dir):
     sized = change_log(spark, sf_dir).withColumn("size", log.payload_bytes(["event_type", "props"]))
-    placed = apply.byte_batches(sized, "user_id", ["seq"], "size", 64)
+    placed = apply.byte_batches(sized, "user_id", ["seq"], "size", 64, spread=apply.sequence_position(F.col("seq")))
     return placed.groupBy("user_id", "batch").agg(F.count("*").alias("events"), F.sum("size").alias("bytes"))
 
 
@@ -153,13 +153,13 @@ def byte_budget_batches(spark, sf_dir):
 select event_id, cast(sum(changed) over (partition by user_id order by seq rows unbounded preceding) as bigint) as segment from marked""")
 def segment_by_schema(spark, sf_dir):
     versions = change_log(spark, sf_dir).withColumn("version", F.expr("event_id div 7 % 3"))
-    return apply.segments(versions, "user_id", ["seq"], "version").select("event_id", F.col("segment").cast("long").alias("segment"))
+    return apply.segments(versions, "user_id", ["seq"], "version", spread=apply.sequence_position(F.col("seq"))).select("event_id", F.col("segment").cast("long").alias("segment"))
 
 
 @query(f"with {LOG} select event_id, cast(sum(case when event_id % 97 = 0 then 1 else 0 end) over (partition by user_id order by seq rows unbounded preceding) as bigint) as run from log")
 def accumulation_runs(spark, sf_dir):
     marked = change_log(spark, sf_dir).withColumn("op", F.when(F.col("event_id") % 97 == 0, "T").otherwise(F.col("op")))
-    return apply.barriers(marked, "user_id", ["seq"]).select("event_id", F.col("run").cast("long").alias("run"))
+    return apply.barriers(marked, "user_id", ["seq"], spread=apply.sequence_position(F.col("seq"))).select("event_id", F.col("run").cast("long").alias("run"))
 
 
 @query(f"""with {LEGS}, base as (select cast(o_orderkey as bigint) as k, '0000000000000000/0000000000000000' as seq, 0 as sub, false as deleted, o_orderstatus as event_type, o_totalprice as value from orders where o_orderkey < 2000),

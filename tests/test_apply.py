@@ -125,3 +125,24 @@ def test_resolve_unchanged(spark):
     df = spark.createDataFrame(rows, f"new {image}, old {image}, old_kind string, unchanged array<string>")
     out = log.resolve_unchanged(df, ["id", "big"], ["id"]).orderBy("new.id").collect()
     assert [(r.new.big, r.new_kind, r.missing) for r in out] == [("old", "full", []), (None, "partial", ["big"]), ("new", "full", []), (None, "partial", ["big"])]
+
+
+@pytest.mark.parametrize("parts", [2, 7, 40])
+def test_spread_forms_equal_plain_ones(spark, parts):
+    """One table holds most of the log; some rows have no table."""
+    r = random.Random(parts)
+    rows = [(r.choice([1, 1, 1, 1, 2, None]), i, r.choice([0, 0, 1, None]), r.randrange(1, 9), r.choice("IIUDRT")) for i in range(200)]
+    df = spark.createDataFrame(rows, "t int, i int, v int, size int, op string").repartition(5)
+    forms = [
+        (lambda **k: apply.segments(df, "t", ["i"], "v", **k), "segment"), (lambda **k: apply.barriers(df, "t", ["i"], **k), "run"),
+        (lambda **k: apply.mutation_batches(df, "t", ["i"], 16, **k), "batch"), (lambda **k: apply.byte_batches(df, "t", ["i"], "size", 20, **k), "batch"),
+    ]
+    for form, name in forms:
+        plain, spread = ({x.i: x[name] for x in form(**k).collect()} for k in ({}, {"spread": F.col("i"), "parts": parts}))
+        assert plain == spread and len(plain) == 200
+    want, last, n = {}, {}, {}
+    for t, i, v, *_ in rows:
+        n[t] = n.get(t, 0) + (t not in last or last[t] != v)
+        last[t] = v
+        want[i] = n[t]
+    assert {x.i: x.segment for x in forms[0][0](spread=F.col("i"), parts=parts).collect()} == want
