@@ -87,10 +87,11 @@ def _add_counters(batches):
     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["block", "counts"])
 
 
-def _counters(signatures: DataFrame, tasks: int) -> np.ndarray:
+def _counters(signatures: DataFrame) -> np.ndarray:
     """Sums of the tasks' counters; each adder streams, so its memory is the
     table's fixed size whatever the number of tasks."""
     rows = signatures.where("block is not null").select("block", "counts")
+    tasks = rows.count() // BLOCKS
     if tasks > 512:
         rows = rows.repartition(tasks // 64).mapInArrow(_add_counters, "block int, counts binary")
     out = np.zeros((BLOCKS, (1 << COUNTER_BITS) // BLOCKS), np.uint32)
@@ -207,9 +208,8 @@ class JaccardJoin:
 
     def classes(self) -> DataFrame:
         """Writes each document's size and set fingerprint; classes of equal sets."""
-        tasks = self.docs.rdd.getNumPartitions()
         sig = self.work.write(self.docs.mapInArrow(_signatures(self.size), "doc_id long, n long, fp binary, block int, counts binary"), "signatures")
-        self.counters = self.spark.sparkContext.broadcast(_counters(sig, tasks))
+        self.counters = self.spark.sparkContext.broadcast(_counters(sig))
         self.signed = sig.where("block is null").select("doc_id", "n", "fp")
         return self.work.write(self.signed.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("cls")).where("cls is not null"), "classes")
 

@@ -22,6 +22,8 @@ from .storage import ship
 #: Hashed n-gram dimensions and the n-gram lengths in bytes.
 BUCKETS = 4096
 GRAMS = (1, 2, 3)
+#: Texts whose counts are held at once.
+ROWS = 256
 #: Training texts of one language, chosen by a hash of their id: the classifier
 #: is fitted on about that many, and on TRAIN_TOTAL over all languages.
 TRAIN_PER_LANGUAGE = 800
@@ -119,7 +121,7 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
 
     def vectors(batches):
         for b in batches:
-            for s in textvec.slices(b.column(1)):
+            for s in textvec.slices(b.column(1), rows=ROWS):
                 x = gram_counts(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array([r.astype(np.uint16 if r.max() < 65535 else np.float32).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -166,7 +168,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_co
         m = shared.value
         for b in batches:
             names, scores, out = [], [], []
-            for s in textvec.slices(b.column(1)):
+            for s in textvec.slices(b.column(1), rows=ROWS):
                 index, score, far = m.predict(gram_counts(s))
                 names += [m.languages[i] if i >= 0 else "und" for i in index]
                 scores.append(score)

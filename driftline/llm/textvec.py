@@ -2,7 +2,7 @@
 
 Texts stay in Arrow's UTF-8 buffers; NumPy works on slices of about
 ``SLICE_BYTES``, always whole texts, so memory follows the longest text and
-not the batch.
+not the batch or the number of short texts in it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte, and the odd base of the rolling sum.
@@ -69,8 +70,9 @@ class Slice:
         return len(self.bounds) - 1
 
 
-def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Null texts appear as empty ones with ``valid`` False."""
+def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """At most ``rows`` texts each, and as many as make ``size`` bytes, but one
+    at least. Null texts appear as empty ones with ``valid`` False."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -82,11 +84,11 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Itera
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     if not valid.all() and (np.diff(offsets)[~valid] != 0).any():
-        yield from slices(column.fill_null(""), size)
+        yield from slices(column.fill_null(""), size, rows)
         return
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        to = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield Slice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], valid[at:to])
         at = to
 

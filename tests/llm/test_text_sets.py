@@ -61,6 +61,8 @@ def test_slices_of_sliced_and_null_columns():
     column = pa.array(["zero", None, "one two", "", "three"]).slice(1)
     assert [bytes(s.data) for s in textvec.slices(column)] == [b"one twothree"]
     assert [s.valid.tolist() for s in textvec.slices(column)] == [[False, True, True, True]]
+    assert [(s.first, len(s)) for s in textvec.slices(column, rows=3)] == [(0, 3), (3, 1)]
+    assert [(s.first, len(s)) for s in textvec.slices(column, 1)] == [(0, 1), (1, 1), (2, 1), (3, 1)]
 
 
 def test_prefixes_of_linked_sets_share_enough():
