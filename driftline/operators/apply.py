@@ -1,8 +1,9 @@
 """Applying a change log: current state from ordered legs.
 
-Everything is a hash aggregation with map-side partials rather than a sorted
-window, so a key that holds a large share of the log is reduced before it is
-shuffled, and no key's history meets in one row.
+State is found by aggregation with map-side partials rather than by a window,
+so a key that holds a large share of the log is reduced to a row in each task
+before the exchange, and no key's history meets in one place. Rows are structs,
+so Spark aggregates them by an external sort within each task.
 """
 
 from __future__ import annotations
