@@ -66,7 +66,10 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="driftline-")
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
