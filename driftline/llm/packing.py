@@ -21,11 +21,10 @@ from . import textvec
 from .storage import ship
 
 CAPACITY = 4096
-#: Pieces a bin of each class takes. The first five are filled without a gap
-#: by cutting; a piece of fewer than CAPACITY/16 tokens is a document's end and
-#: goes to the last class that it fits.
-CLASSES = (1, 2, 4, 8, 16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024, 2048, 4096)
-FULL_CLASSES = 5
+#: Classes that are filled without a gap, by cutting. What is left of a
+#: document, fewer than CAPACITY/16 tokens, goes to the class of as many pieces
+#: as fit a bin, each of its length.
+CUT_CLASSES = (1, 2, 4, 8, 16)
 END_ID = 2
 #: Words whose ids a Python worker remembers before it starts anew: about 60
 #: bytes each.
@@ -40,13 +39,13 @@ _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(class, length) of the pieces of a document, in order."""
     out = []
-    for k in CLASSES[:FULL_CLASSES]:
+    for k in CUT_CLASSES:
         size = capacity // k
         while tokens >= size:
             out.append((k, size))
             tokens -= size
     if tokens:
-        out.append((max(k for k in CLASSES if k * tokens <= capacity), tokens))
+        out.append((capacity // tokens, tokens))
     return out
 
 
