@@ -4,6 +4,9 @@ Features are sparse: counts of hashed words and word beginnings that the
 labelled texts tie to toxicity. One weight vector serves all thresholds,
 P(grade <= k) = sigmoid(theta_k - w.x), and the output is the expected grade.
 
+A text is as toxic as its strongest passage: it is cut whole into overlapping
+passages of PASSAGE words, so chance hits don't add up with its length.
+
 Labels only say toxic or not, so training grades are 0 for the others and 1 to
 GRADES for toxic texts, by quantiles of their amount of indicative features.
 """
@@ -20,7 +23,11 @@ from pyspark.sql import functions as F
 from . import textvec
 from .storage import ship
 
-HASH_BITS = 20
+#: Words of a passage; the next one begins in its middle.
+PASSAGE = 128
+#: Leading bits of a hash by which most of those that are no feature are passed
+#: over; what remains is compared whole.
+SIEVE_BITS = 20
 #: Lengths, in bytes, of the word beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6)
 #: The regression is fitted on so many labelled texts of each class at most,
@@ -40,23 +47,54 @@ _SEPARATOR[48:58] = _SEPARATOR[65:91] = _SEPARATOR[97:123] = False
 _SEPARATOR[128:] = False
 
 
-def feature_hashes(s: textvec.Slice) -> tuple[np.ndarray, np.ndarray]:
+def feature_hashes(s: textvec.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of a slice's words, all words' first, then all word
-    beginnings by length, with the text of each."""
+    beginnings by length, with the word of each, and the first word of each
+    text."""
     w = textvec.words(s, _SEPARATOR)
-    text = np.repeat(np.arange(len(s)), np.diff(w.first))
-    found, texts = [w.hash], [text]
+    word = np.arange(len(w.hash))
+    found, words = [w.hash], [word]
     length = w.end - w.start
     for k in STEMS:
         long = length > k
         found.append(textvec.mix(w.span_hash(w.start[long], w.start[long] + k) + textvec.U64(k)))
-        texts.append(text[long])
-    return (np.concatenate(found) >> textvec.U64(64 - HASH_BITS)).astype(np.int64), np.concatenate(texts)
+        words.append(word[long])
+    return np.concatenate(found), np.concatenate(words), w.first
+
+
+class Features:
+    """Feature hashes, ascending; a feature's column is its place among them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self._leading(hashes)] = True
+
+    @staticmethod
+    def _leading(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> textvec.U64(64 - SIEVE_BITS)).astype(np.int64)
+
+    def passages(self, s: textvec.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, column and count of what a slice's passages hold, in that
+        order, and the first passage of each text, which has one at least."""
+        hashes, word, first = feature_hashes(s)
+        near = np.flatnonzero(self.sieve[self._leading(hashes)])
+        column = np.searchsorted(self.hashes, hashes[near])
+        same = self.hashes[np.minimum(column, len(self.hashes) - 1)] == hashes[near] if len(self.hashes) else np.zeros(len(near), bool)
+        column, word = column[same], word[near[same]]
+        number = np.maximum(-(-np.diff(first) // (PASSAGE // 2)) - 1, 1)
+        start = np.concatenate([[0], np.cumsum(number)])
+        text = np.searchsorted(first, word, "right") - 1
+        half = (word - first[text]) // (PASSAGE // 2)
+        opens, ends = half < number[text], half > 0
+        passage = np.concatenate([(start[text] + half)[opens], (start[text] + half - 1)[ends]])
+        cells, counts = np.unique(passage * max(len(self.hashes), 1) + np.concatenate([column[opens], column[ends]]), return_counts=True)
+        return *np.divmod(cells, max(len(self.hashes), 1)), counts, start
 
 
 @dataclass
 class ToxicityModel:
-    column: np.ndarray  # of each hash, -1 if it isn't a feature
+    features: Features
     weight: np.ndarray
     theta: np.ndarray
 
@@ -66,11 +104,14 @@ class ToxicityModel:
         return np.diff(np.concatenate([np.zeros((len(x), 1)), at_most, np.ones((len(x), 1))], axis=1), axis=1)
 
     def linear(self, s: textvec.Slice) -> np.ndarray:
-        hashes, text = feature_hashes(s)
-        column = self.column[hashes]
-        hit = column >= 0
-        cells, counts = np.unique(text[hit] * len(self.weight) + column[hit], return_counts=True)
-        return np.bincount(cells // len(self.weight), np.log1p(counts) * self.weight[cells % len(self.weight)], minlength=len(s))
+        """w.x of each text's strongest passage."""
+        passage, column, counts, start = self.features.passages(s)
+        x = np.bincount(passage, np.log1p(counts) * self.weight[column], minlength=start[-1])
+        return np.maximum.reduceat(x, start[:-1])
+
+
+def _empty() -> ToxicityModel:
+    return ToxicityModel(Features(np.zeros(0, textvec.U64)), np.zeros(0), np.arange(GRADES) + 5.0)
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +139,22 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400
     return par[:d], par[d] + np.concatenate([[0.0], np.cumsum(np.exp(par[d + 1 :]))])
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 5
-    return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64)
+def distinct_hashes(s: textvec.Slice) -> list[np.ndarray]:
+    """Of each text."""
+    hashes, word, first = feature_hashes(s)
+    text = np.searchsorted(first, word, "right") - 1
+    order = np.argsort(text, kind="stable")
+    ends = np.searchsorted(text[order], np.arange(len(s) + 1))
+    return [np.unique(hashes[order[i:j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def strongest(s: textvec.Slice, features: Features, odds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and counts of each text's passage with the largest odds."""
+    passage, column, counts, start = features.passages(s)
+    amount = np.bincount(passage, np.log1p(counts) * odds[column], minlength=start[-1])
+    best = [i + int(amount[i:j].argmax()) for i, j in zip(start[:-1], start[1:], strict=True)]
+    low, high = np.searchsorted(passage, best), np.searchsorted(passage, best, "right")
+    return [(column[i:j], counts[i:j]) for i, j in zip(low, high, strict=True)]
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -110,24 +164,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> ToxicityMode
     ship(spark)
     given = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r.toxic: r["count"] for r in given.groupBy("toxic").count().collect()}
-    empty = ToxicityModel(np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1), np.arange(GRADES) + 5.0)
     if not sizes.get(1) or not sizes.get(0):
-        return empty
+        return _empty()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = given.where(F.when(F.col("toxic") > 0, draw < TRAIN_PER_CLASS / sizes[1]).otherwise(draw < TRAIN_PER_CLASS / sizes[0]))
+    #: The chosen labels are bounded by 2 * TRAIN_PER_CLASS in expectation, so they may be broadcast.
+    chosen = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
 
-    def features(batches):
-        for b in batches:
-            for s in textvec.slices(b.column(1)):
-                hashes, text = feature_hashes(s)
-                cells, counts = np.unique((text << HASH_BITS) + hashes, return_counts=True)
-                ends = np.searchsorted(cells, np.arange(len(s) + 1) << HASH_BITS)
-                rows = [(cells[i:j] & ((1 << HASH_BITS) - 1)).astype(np.int32).tobytes() + np.minimum(counts[i:j], 255).astype(np.uint8).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array(rows, pa.binary())], names=["toxic", "x"])
+    def rows_of(packed) -> list[tuple[int, bytes]]:
+        def run(batches):
+            for b in batches:
+                for s in textvec.slices(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array(packed(s), pa.binary())], names=["toxic", "x"])
 
-    #: The chosen labels are bounded by 2 * TRAIN_PER_CLASS in expectation, so they may be broadcast.
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, x binary").collect()
-    return fit_rows([(min(r.toxic, 1), bytes(r.x)) for r in rows])
+        return sorted((min(r.toxic, 1), bytes(r.x)) for r in chosen.mapInArrow(run, "toxic int, x binary").collect())
+
+    features, odds = choose_features([(t, np.frombuffer(x, textvec.U64)) for t, x in rows_of(lambda s: [h.tobytes() for h in distinct_hashes(s)])])
+    if not len(odds):
+        return _empty()
+    found = rows_of(lambda s: [np.concatenate(f).astype(np.int32).tobytes() for f in strongest(s, features, odds)])
+    return fit_rows([(t, *np.frombuffer(x, np.int32).reshape(2, -1)) for t, x in found], features, odds)
 
 
 def _log_likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n: list[int]) -> np.ndarray:
@@ -137,36 +193,36 @@ def _log_likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n: list[int]) ->
     return 2 * np.where(total > 0, total * np.log(np.maximum(total, 1e-9) / np.maximum(expected, 1e-9)), 0).sum((0, 1))
 
 
-def fit_rows(rows: list[tuple[int, bytes]]) -> ToxicityModel:
-    """From (toxic, packed features) of the chosen texts."""
-    empty = ToxicityModel(np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1), np.arange(GRADES) + 5.0)
-    toxic, clean, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS), [0, 0]
-    rows = sorted(rows)
-    for label, data in rows:
-        (toxic if label else clean)[_unpacked(data)[0]] += 1
-        n[label] += 1
+def choose_features(rows: list[tuple[int, np.ndarray]]) -> tuple[Features, np.ndarray]:
+    """And their log odds, from (toxic, distinct hashes) of the chosen texts."""
+    n = [sum(t == k for t, _ in rows) for k in (0, 1)]
     if not all(n):
-        return empty
+        return Features(np.zeros(0, textvec.U64)), np.zeros(0)
+    hashes, toxic = np.unique(np.concatenate([h for t, h in rows if t]), return_counts=True)
+    clean = np.zeros(len(hashes))
+    if len(hashes):
+        for t, h in rows:
+            if not t:
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                clean[at[hashes[at] == h]] += 1
     odds = np.log((toxic + 0.1) / n[1]) - np.log((clean + 0.1) / n[0])
     odds[odds < LEAST_LOG_ODDS] = 0
     often = np.flatnonzero(odds)
     odds[often[_log_likelihood_ratio(toxic[often], clean[often], n) < LEAST_RATIO]] = 0
     picked = np.argsort(-odds * np.sqrt(toxic), kind="stable")[:FEATURES]
     picked = np.sort(picked[odds[picked] > 0])
-    if not len(picked):
-        return empty
-    column = np.full(1 << HASH_BITS, -1, np.int32)
-    column[picked] = np.arange(len(picked))
-    x, y, amount = np.zeros((len(rows), len(picked)), np.float32), np.zeros(len(rows), int), np.zeros(len(rows))
-    for k, (label, data) in enumerate(rows):
-        f = _unpacked(data)
-        at = column[f[0]]
-        x[k, at[at >= 0]] = np.log1p(f[1][at >= 0])
-        y[k], amount[k] = label, (odds[f[0]] * np.log1p(f[1])).sum()
+    return Features(hashes[picked]), odds[picked]
+
+
+def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], features: Features, odds: np.ndarray) -> ToxicityModel:
+    """From (toxic, columns, counts) of the chosen texts' strongest passages."""
+    x, y, amount = np.zeros((len(rows), len(odds)), np.float32), np.zeros(len(rows), int), np.zeros(len(rows))
+    for k, (label, column, counts) in enumerate(rows):
+        x[k, column] = np.log1p(counts)
+        y[k], amount[k] = label, (odds[column] * np.log1p(counts)).sum()
     cuts = np.quantile(amount[y == 1], np.arange(1, GRADES) / GRADES)
     y[y == 1] = 1 + np.searchsorted(cuts, amount[y == 1])
-    weight, theta = fit_ordinal(x.astype(np.float64), y, GRADES)
-    return ToxicityModel(column, weight, theta)
+    return ToxicityModel(features, *fit_ordinal(x.astype(np.float64), y, GRADES))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
