@@ -35,7 +35,9 @@ MOST_LANGUAGES = 200
 #: A text is rejected when its distance exceeds REJECT_FACTOR times the
 #: distance that this share of training texts stays within, or reaches
 #: REJECT_FLOOR in any case. Short texts vary more, so the limit is per
-#: power of two of n-grams.
+#: power of two of n-grams; but it is nowhere below that of the class with the
+#: most training texts, as a few texts without an odd one among them say little
+#: about those of their length, and nothing about longer ones.
 REJECT_QUANTILE = 0.999
 REJECT_FACTOR = 1.25
 
@@ -106,6 +108,23 @@ class LanguageModel:
         return self.owner[best], score, 1 - score > self.limit[size]
 
 
+def distance_limits(distance: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+    """Of each size class, from the training texts' distances and classes; None
+    if no class has enough texts."""
+    limit, texts = np.full(40, np.nan), np.zeros(40, int)
+    for k in range(40):
+        near = distance[np.abs(size - k) <= 1]
+        texts[k] = len(near)
+        if len(near) >= 50:
+            limit[k] = min(0.999, REJECT_FACTOR * float(np.quantile(near, REJECT_QUANTILE)))
+    known_at = np.flatnonzero(~np.isnan(limit))
+    if not len(known_at):
+        return None
+    limit[: known_at[0]] = 0.999  # too short to have been learned: only a text with nothing in common goes
+    limit = np.array([limit[known_at[np.abs(known_at - k).argmin()]] if np.isnan(v) else v for k, v in enumerate(limit)])
+    return np.maximum(limit, limit[texts.argmax()])
+
+
 def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     """``labelled(doc_id, text, lang)``: rows with a null text or lang are left
     out. The number of rows of each language is counted over all; then about
@@ -138,15 +157,8 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     model = LanguageModel(names, idf, np.concatenate(parts), owner, np.full(40, np.inf))
     _, score, _ = model.predict(x)
     size = np.minimum(np.log2(1 + x.sum(1)).astype(int), 39)
-    limit = np.full(40, np.nan)
-    for k in range(40):
-        near = 1 - score[np.abs(size - k) <= 1]
-        if len(near) >= 50:
-            limit[k] = min(0.999, REJECT_FACTOR * float(np.quantile(near, REJECT_QUANTILE)))
-    known_at = np.flatnonzero(~np.isnan(limit))
-    if len(known_at):
-        limit[: known_at[0]] = 0.999  # too short to have been learned: only a text with nothing in common goes
-        limit = np.array([limit[known_at[np.abs(known_at - k).argmin()]] if np.isnan(v) else v for k, v in enumerate(limit)])
+    limit = distance_limits(1 - score, size)
+    if limit is not None:
         model.limit = limit
     return model
 

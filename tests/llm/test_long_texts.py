@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from driftline.llm import toxicity
+from driftline.llm import language_id, toxicity
 
 SF = os.environ.get("TEST_LONG_SF_DIR", "/root/testdata/sf0.1")
 SIZES = (100_000, 1_000_000, 5_000_000)
@@ -45,3 +46,24 @@ def test_toxicity_does_not_grow_with_length(spark, docs):
     out = {x.doc_id: x.toxic for x in toxicity.score(spark, spark.createDataFrame(long + hidden, "doc_id long, text string").repartition(8), model).collect()}
     assert len(severe) == 5 and [i for i, _ in long if out[i]] == []
     assert all(out[i] for i, _ in hidden)
+
+
+def test_few_long_training_texts_set_no_lower_limit():
+    r = np.random.default_rng(3)
+    distance = np.concatenate([r.uniform(0.2, 0.56, 3000), r.uniform(0.08, 0.1, 60)])
+    size = np.concatenate([np.full(3000, 10), np.full(60, 15)])
+    limit = language_id.distance_limits(distance, size)
+    assert limit[10] < 0.71 and (limit[10:] >= limit[10]).all() and (limit[:9] == 0.999).all()
+
+
+def test_language_of_texts_longer_than_the_learned(spark, docs):
+    by = {}
+    for x in docs.where("lang is not null and length(text) between 300 and 4000").select("lang", "text").orderBy("doc_id").collect():
+        by.setdefault(x.lang, []).append(x.text)
+    r, train, long = random.Random(6), [], []
+    for lang, texts in sorted(by.items()):
+        train += [(lang, t) for t in texts[:500]] + [(lang, "\n".join(joined(texts, 60_000, r))) for _ in range(20)]
+        long += [(lang, "\n".join(joined(texts, size, r))) for size in SIZES]
+    model = language_id.fit(spark, spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string"))
+    out = {x.doc_id: (x.lang_pred, x.rejected) for x in language_id.identify(spark, spark.createDataFrame([(i, t) for i, (_, t) in enumerate(long)], "doc_id long, text string").repartition(8), model).collect()}
+    assert [out[i] for i in range(len(long))] == [(lang, False) for lang, _ in long]
