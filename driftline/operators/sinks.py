@@ -26,6 +26,32 @@ def key_delete_row(columns: Sequence[tuple[str, str, bool]], keys: Sequence[str]
     return [F.col(n) if n in keys else F.when(F.col("op") == "D", typed_zero(t, null)).otherwise(F.col(n)).alias(n) for n, t, null in columns]
 
 
+#: Images of a delete that a destination can use.
+DELETE_IMAGES = {"bigquery": ("full", "key"), "clickhouse": ("full", "key"), "iceberg": ("full",), "snowflake": ("full", "key")}
+
+
+def strict_images(log: DataFrame, destination: str) -> DataFrame:
+    """The log as it is; running it raises on an insert or update whose
+    ``new_kind`` isn't full, and on a delete whose ``old_kind`` the destination
+    can't use."""
+    absent = (F.col("op").isin("I", "U") & ~F.col("new_kind").eqNullSafe("full")) | ((F.col("op") == "D") & ~F.coalesce(F.col("old_kind").isin(*DELETE_IMAGES[destination]), F.lit(False)))
+    message = F.concat(F.lit(f"{destination}: operation "), F.col("op"), F.lit(" with new image "), F.coalesce("new_kind", F.lit("none")), F.lit(" and old image "), F.coalesce("old_kind", F.lit("none")))
+    return log.where(F.when(absent, F.raise_error(message)).otherwise(F.lit(True)))
+
+
+def strict_json_images(log: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The same for images as JSON objects: ``new`` of an insert or update must
+    have every column, ``old`` of a delete, or where an update has one, every
+    key. A null value is a value; an absent one isn't."""
+    lacks = lambda image, names: F.array_except(F.array(*map(F.lit, names)), F.coalesce(F.json_object_keys(image), F.array().cast("array<string>")))
+    new = F.when(F.col("op").isin("I", "U"), lacks("new", columns))
+    old = F.when((F.col("op") == "D") | ((F.col("op") == "U") & F.col("old").isNotNull()), lacks("old", keys))
+    none = F.array().cast("array<string>")
+    absent = F.concat(F.coalesce(new, none), F.coalesce(old, none))
+    message = F.concat(F.lit("partial image: operation "), F.col("op"), F.lit(" lacks "), F.array_join(absent, ", "))
+    return log.where(F.when(F.size(absent) > 0, F.raise_error(message)).otherwise(F.lit(True)))
+
+
 def audit_log(log: DataFrame, columns: Sequence[tuple[str, str, bool]], keys: Sequence[str]) -> DataFrame:
     """Append-only: user columns, ``cdc_operation`` and ``cdc_lsn``."""
     return log.select(*key_delete_row(columns, keys), operation_word(F.col("op")).alias("cdc_operation"), F.col("commit_lsn").alias("cdc_lsn"))

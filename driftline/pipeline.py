@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.lsn import sequence_key
 from driftline.operators import apply, log
-from driftline.operators.sinks import BucketedTable
+from driftline.operators.sinks import BucketedTable, strict_json_images
 from driftline.operators.state import Destination, MemoryStore, next_state
 from driftline.streaming.apply_stream import start
 
@@ -82,7 +82,8 @@ class LakeDestination(Destination):
         if live is not None and live.batch_id is not None and live.batch_id >= batch_id:
             return
         keys, values = list(t.keys), self._values(t)
-        images = events.where(F.col("op").isin(*log.ROW_OPS)).select("op", sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq"), F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
+        rows = strict_json_images(events.where(F.col("op").isin(*log.ROW_OPS)), self._row(t).columns, keys)
+        images = rows.select("op", sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq"), F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
         flat = images.select("op", "_seq", *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(f"_old_{k}") for k in keys], *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys], *[F.col(f"n.{v}").alias(v) for v in values])
         legs = log.split_key_changes(flat, [f"_old_{k}" for k in keys], keys, values, ["_seq"]).withColumnsRenamed({"sub": "_sub", "deleted": "_deleted"})
         legs = legs.persist()
