@@ -1,15 +1,19 @@
 """Harmonic packing of documents into fixed-length training sequences.
 
-Documents are cut so that every piece falls into a class of reciprocal
-capacity: class k holds pieces of at most capacity/k tokens, and each of its
-bins takes exactly k of them. Workers fill bins on their own, without any
-exchange. What a worker has left in unfilled bins it packs next-fit, as the
-method does with its smallest class.
+A document of length up to capacity/k and over the next class's bound falls
+into class k, and a bin of class k takes exactly k documents, whole. What such
+a bin leaves empty is known when it closes, and is filled by pieces cut from
+documents that are longer than a sequence, or, where too much has come
+together, from the next document. Workers fill bins on their own, without any
+exchange; at the end of its rows a worker packs what is in unfilled bins
+together, cutting at the ends of sequences.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
@@ -21,10 +25,13 @@ from . import textvec
 from .storage import ship
 
 CAPACITY = 4096
-#: Classes that are filled without a gap, by cutting. What is left of a
-#: document, fewer than CAPACITY/16 tokens, goes to the class of as many pieces
-#: as fit a bin, each of its length.
-CUT_CLASSES = (1, 2, 4, 8, 16)
+#: Documents in a bin of each class: every number up to 16, then steps of a
+#: quarter, as more classes would leave a worker more unfilled bins.
+CLASSES = [*range(1, 17)]
+while CLASSES[-1] < CAPACITY:
+    CLASSES.append(max(CLASSES[-1] + 1, CLASSES[-1] * 5 // 4))
+#: Empty tokens of a bin that aren't worth a cut.
+LEAST_GAP = 16
 END_ID = 2
 #: Words whose ids a Python worker remembers before it starts anew: about 60
 #: bytes each.
@@ -36,27 +43,24 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
 
-def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(class, length) of the pieces of a document, in order."""
-    out = []
-    for k in CUT_CLASSES:
-        size = capacity // k
-        while tokens >= size:
-            out.append((k, size))
-            tokens -= size
-    if tokens:
-        out.append((capacity // tokens, tokens))
-    return out
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """The number of documents of that length in a bin."""
+    return CLASSES[bisect_right(CLASSES, max(1, capacity // length)) - 1]
 
 
 class Packer:
-    """Places pieces; gives back those whose bin is closed."""
+    """Places pieces (doc, start, length) and hands out (doc, start, length,
+    sequence, offset) of closed sequences."""
 
     def __init__(self, first_sequence: int, capacity: int = CAPACITY):
         self.next, self.capacity = first_sequence, capacity
         self.open: dict[int, list[tuple]] = {}
+        #: Closed bins with a gap: (-gap, order, pieces), the widest first.
+        self.gaps: list[tuple] = []
+        self.gap, self.order = 0, 0
+        self.regular, self.mixed = 0, 0
 
-    def _close(self, pieces: list[tuple]) -> list[tuple]:
+    def _emit(self, pieces: list[tuple]) -> list[tuple]:
         out, offset = [], 0
         for p in pieces:
             out.append((*p, self.next, offset))
@@ -64,31 +68,100 @@ class Packer:
         self.next += 1
         return out
 
-    def add(self, k: int, piece: tuple) -> list[tuple]:
-        """piece: (doc_id, start, length, ...)."""
+    def _close(self, pieces: list[tuple], gap: int) -> list[tuple]:
+        """Hands out a bin, or keeps it until its gap is filled."""
+        if gap < LEAST_GAP:
+            return self._emit(pieces)
+        self.order += 1
+        heapq.heappush(self.gaps, (-gap, self.order, pieces))
+        self.gap += gap
+        return []
+
+    def _fill(self, piece: tuple) -> tuple[list[tuple], tuple | None]:
+        """Cuts a piece into the gaps; gives what is left of it."""
+        out, (doc, start, length) = [], piece
+        while length and self.gaps:
+            gap, _, pieces = heapq.heappop(self.gaps)
+            self.gap += gap
+            take = min(-gap, length)
+            pieces.append((doc, start, take))
+            start, length = start + take, length - take
+            out += self._close(pieces, -gap - take)
+        return out, (doc, start, length) if length else None
+
+    def add(self, doc, length: int) -> list[tuple]:
+        out, piece = [], (doc, 0, length)
+        if length > self.capacity or self.gap >= length + self.capacity or (2 * length > self.capacity and self.gap >= length):
+            out, piece = self._fill(piece)
+        while piece and piece[2] >= self.capacity:
+            out += self._emit([(doc, piece[1], self.capacity)])
+            piece = (doc, piece[1] + self.capacity, piece[2] - self.capacity) if piece[2] > self.capacity else None
+        if not piece:
+            return out
+        k = class_of(piece[2], self.capacity)
         held = self.open.setdefault(k, [])
         held.append(piece)
-        if len(held) < k:
-            return []
-        del self.open[k]
-        return self._close(held)
+        if len(held) == k:
+            del self.open[k]
+            self.regular += 1
+            out += self._close(held, self.capacity - sum(p[2] for p in held))
+        return out
 
     def finish(self) -> list[tuple]:
-        """The pieces of unfilled bins, longest first, next-fit."""
-        out, held, size = [], [], 0
-        for p in sorted((p for x in self.open.values() for p in x), key=lambda p: -p[2]):
-            if size + p[2] > self.capacity:
-                out += self._close(held)
-                held, size = [], 0
-            held.append(p)
-            size += p[2]
-        self.open = {}
-        return out + (self._close(held) if held else [])
+        """What is in unfilled bins: into the gaps, then next-fit from the
+        longest on, cut where a sequence is full. With more gaps than that, the
+        narrowest bins' own pieces go into them. The last sequence is cut at
+        powers of two, which need no padding."""
+        left = sorted((p for x in self.open.values() for p in x), key=lambda p: p[2])
+        self.open, out = {}, []
+        while self.gaps:
+            if not left:
+                if len(self.gaps) == 1:
+                    break
+                smallest = max(self.gaps)
+                self.gaps.remove(smallest)
+                heapq.heapify(self.gaps)
+                self.gap += smallest[0]
+                left = sorted(smallest[2], key=lambda p: p[2])
+                continue
+            done, rest = self._fill(left.pop())
+            out += done
+            if rest:
+                left.append(rest)
+        left += [p for _, _, pieces in self.gaps for p in reversed(pieces)]
+        self.gaps, held, room = [], [], self.capacity
+        while left:
+            doc, start, length = left.pop()
+            take = min(length, room)
+            held.append((doc, start, take))
+            room -= take
+            if take < length:
+                left.append((doc, start + take, length - take))
+            if not room:
+                out += self._emit(held)
+                self.mixed += 1
+                held, room = [], self.capacity
+        for bit in reversed(range((self.capacity - room).bit_length())):
+            size = 1 << bit
+            if not (self.capacity - room) & size:
+                continue
+            part = []
+            while size:
+                doc, start, length = held.pop(0)
+                take = min(length, size)
+                part.append((doc, start, take))
+                size -= take
+                if take < length:
+                    held.insert(0, (doc, start + take, length - take))
+            out += self._emit(part)
+            self.mixed += 1
+        return out
 
 
 class WordTable:
-    """From 64-bit word hashes to ids: open addressing in NumPy arrays, the ids
-    of all words end to end in one."""
+    """From words to ids: open addressing by 64-bit hashes in NumPy arrays, the
+    ids of all words end to end in one, and so their bytes, as a hash alone
+    doesn't tell two words apart."""
 
     def __init__(self) -> None:
         self.clear()
@@ -97,6 +170,22 @@ class WordTable:
         self.keys, self.place, self.words = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
         self.ids, self.used = np.zeros(1 << 17, np.uint32), 0
+        self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self._hold(np.zeros(1 << 20, np.uint8), 0)
+
+    def _hold(self, padded: np.ndarray, held: int) -> None:
+        self.data, self.held = padded, held
+        self._blocks = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+    def block(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """As that of a slice's words."""
+        return self._blocks[at] & textvec.BITS[np.minimum(size, 8)]
+
+    def same(self, w: textvec.Words, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each place holds the very word."""
+        out = self.length[place] == end - start
+        out[out] = w.same_bytes(start[out], end[out], self.at[place[out]], self)
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each word, -1 for one not met."""
@@ -121,18 +210,28 @@ class WordTable:
             self.keys[slot[take]], self.place[slot[take]] = keys[take], places[take]
             keys, places, slot = keys[~take], places[~take], (slot[~take] + np.uint64(1) * (~free[~take]).astype(np.uint64)) & mask
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Distinct new words with their ids."""
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    def append(self, words: list[bytes], ids: list[list[int]]) -> np.ndarray:
+        """Places of words with their ids, which no key finds yet."""
+        sizes, lengths = np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        while self.words + len(keys) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        double = lambda x: np.concatenate([x, np.zeros_like(x)])
+        while self.words + len(ids) > len(self.start):
+            self.start, self.size, self.at, self.length = map(double, (self.start, self.size, self.at, self.length))
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        places = np.arange(self.words, self.words + len(keys), dtype=np.int32)
+            self.ids = double(self.ids)
+        while self.held + int(lengths.sum()) + 8 > len(self.data):
+            self._hold(double(self.data), self.held)
+        places = np.arange(self.words, self.words + len(ids), dtype=np.int32)
         self.start[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.at[places], self.length[places] = self.held + np.cumsum(lengths) - lengths, lengths
         self.ids[self.used : self.used + len(flat)] = flat
-        self.words, self.used = self.words + len(keys), self.used + len(flat)
+        self.data[self.held : self.held + int(lengths.sum())] = np.frombuffer(b"".join(words), np.uint8)
+        self.words, self.used, self.held = self.words + len(ids), self.used + len(flat), self.held + int(lengths.sum())
+        return places
+
+    def add(self, keys: np.ndarray, words: list[bytes], ids: list[list[int]]) -> None:
+        """Distinct new keys with one word each and its ids."""
+        places = self.append(words, ids)
         if 2 * self.words > len(self.keys):
             held = self.keys != 0
             keys, places = np.concatenate([self.keys[held], keys]), np.concatenate([self.place[held], places])
@@ -145,8 +244,9 @@ class WordIds:
     """Ids of texts by a lower-casing, word-splitting tokenizer file. The
     tokenizer never joins what ASCII blanks part, so a text's ids are those of
     its words; and what it splits inside a word, a mark at the end after an
-    ASCII letter or digit, is a word of its own here. Words are told apart by
-    their hashes, and each one goes through the tokenizer when it is first met.
+    ASCII letter or digit, is a word of its own here. Words are found by their
+    hashes and compared by their bytes, and each one goes through the tokenizer
+    when it is first met.
     """
 
     def __init__(self, path: str):
@@ -204,15 +304,20 @@ class WordIds:
             start, end, hashes = starts, ends, w.span_hash(starts, ends)
         hashes = np.maximum(hashes, np.uint64(1))
         table = self.table
-        if table.words > REMEMBERED or table.used > 8 * REMEMBERED:
+        if table.words > REMEMBERED or table.used > 8 * REMEMBERED or table.held > 16 * REMEMBERED:
             table.clear()
+        bytes_of = lambda at: [w.data[i:j].tobytes() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         place = table.find(hashes)
         new = np.flatnonzero(place < 0)
         if len(new):
             keys, one = np.unique(hashes[new], return_index=True)
-            data = s.data.tobytes().lower()
-            table.add(keys, self._encode([data[i:j] for i, j in zip(start[new[one]].tolist(), end[new[one]].tolist(), strict=True)]))
+            found = bytes_of(new[one])
+            table.add(keys, found, self._encode(found))
             place[new] = table.find(hashes[new])
+        other = np.flatnonzero(~table.same(w, start, end, place))
+        if len(other):  # two words with one hash
+            found = bytes_of(other)
+            place[other] = table.append(found, self._encode(found))
         size = table.size[place]
         total = np.append(0, np.cumsum(size))
         ids = table.ids[np.repeat(table.start[place] - total[:-1], size) + np.arange(total[-1])]
@@ -235,9 +340,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
 
     Each document's ids end with END_ID; a null text is empty, so it is that
     one id. ``start`` counts the document's ids before the piece, ``offset``
-    the sequence's. Null or repeated doc_ids are documents like others. An
-    empty table gives an empty one. ``path`` is a tokenizer file that every
-    executor has.
+    the sequence's. Null or repeated doc_ids are documents like others, and
+    very long texts are encoded whole and cut at sequences. Other columns are
+    ignored, whatever their names. An empty table gives an empty one. ``path``
+    is a tokenizer file that every executor has.
     """
     ship(spark)
 
@@ -250,21 +356,34 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordIds(path)
         tokenizer, end = _TOKENIZERS[path], np.array([END_ID], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId() << 36, capacity)
+        packer, held = Packer(TaskContext.get().partitionId() << 36, capacity), {}
+
+        def rows_of(placed):
+            """Rows of placed pieces; a document's ids are let go with its last
+            piece."""
+            rows = []
+            for doc, start, length, sequence, offset in placed:
+                name, data, left = held[doc]
+                part = data[4 * start : 4 * (start + length)]
+                rows.append((name, start, length, zlib.crc32(part), len(data) // 4, *([bytes(part)] if with_ids else []), sequence, offset))
+                if left == length:
+                    del held[doc]
+                else:
+                    held[doc] = (name, data, left - length)
+            return rows
+
+        number = 0
         for b in batches:
             names, at, rows = b.column(0).to_pylist(), 0, []
             for s in textvec.slices(b.column(1)):
                 for ids in tokenizer.encode(s):
                     data = memoryview(ids.tobytes() + end)
-                    tokens, start = len(data) // 4, 0
-                    for k, length in cut(tokens, capacity):
-                        part = data[4 * start : 4 * (start + length)]
-                        rows += packer.add(k, (names[at], start, length, zlib.crc32(part), tokens, *([bytes(part)] if with_ids else [])))
-                        start += length
-                    at += 1
+                    held[number] = (names[at], data, len(data) // 4)
+                    rows += rows_of(packer.add(number, len(data) // 4))
+                    number, at = number + 1, at + 1
             if rows:
                 yield _pieces(rows, with_ids)
-        if rows := packer.finish():
+        if rows := rows_of(packer.finish()):
             yield _pieces(rows, with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

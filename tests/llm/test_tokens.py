@@ -76,19 +76,72 @@ def test_word_table_grows():
     keys = np.unique(keys)
     for part in np.array_split(r.permutation(keys), 7):
         assert (table.find(part) < 0).all()
-        table.add(part, [[int(k % np.uint64(97))] * int(k % np.uint64(4)) for k in part])
+        table.add(part, [str(k).encode() for k in part], [[int(k % np.uint64(97))] * int(k % np.uint64(4)) for k in part])
     place = table.find(keys)
     assert (place >= 0).all() and (table.size[place] == keys % np.uint64(4)).all()
     long = place[table.size[place] > 0]
     assert (table.ids[table.start[long]] == keys[table.size[place] > 0] % np.uint64(97)).all()
-
-
-def test_cut_keeps_every_token_and_fits_its_class():
-    for n in [*range(0, 600), 4095, 4096, 4097, 123_457]:
-        parts = packing.cut(n)
-        assert sum(x for _, x in parts) == n
-        assert all(k * x <= packing.CAPACITY for k, x in parts)
-        assert all(k * x == packing.CAPACITY for k, x in parts[:-1])
+    assert all(table.data[table.at[p] : table.at[p] + table.length[p]].tobytes() == str(k).encode() for p, k in zip(place[:2000], keys[:2000], strict=True))
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    t = Tokenizer.from_file(WORDS)
+    a, b = thue_morse(1024), thue_morse(1024, 1)
+    texts = [a, b, f"x {b} {a}. {a[:900]}", a + b, b + a, "A" * 129 + " " + "a" * 130, *ODD]
+    for patched in (False, True):
+        if patched:
+            monkeypatch.setattr(textvec.Words, "span_hash", lambda self, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+        w = packing.WordIds(WORDS)
+        for _ in range(2):
+            found = [ids.tolist() for s in textvec.slices(pa.array(texts), 3000) for ids in w.encode(s)]
+            assert found == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_classes_are_of_reciprocal_capacity():
+    for n in range(1, packing.CAPACITY + 1):
+        k = packing.class_of(n)
+        assert k * n <= packing.CAPACITY and (k >= 16 or k == packing.CAPACITY // n)
+
+
+@pytest.mark.parametrize("lengths", ["spread", "short", "half", "long", "one"])
+def test_bins_take_a_fixed_number_of_documents(lengths):
+    r = random.Random(4)
+    draw = {"spread": lambda: int(r.lognormvariate(6.3, 1.2)) + 1, "short": lambda: r.randint(1, 40), "half": lambda: r.randint(2049, 4000), "long": lambda: r.randint(1, 60_000), "one": lambda: 1}[lengths]
+    sizes = [draw() for _ in range(3000)]
+    p, out = packing.Packer(5 << 36), []
+    for i, n in enumerate(sizes):
+        out += p.add(i, n)
+        assert p.gap <= 2 * packing.CAPACITY + 1 and p.gap == -sum(x[0] for x in p.gaps)
+    before = len({x[3] for x in out})
+    out += p.finish()
+    by_doc, by_sequence = {}, {}
+    for doc, start, length, sequence, offset in out:
+        by_doc.setdefault(doc, []).append((start, length))
+        by_sequence.setdefault(sequence, []).append((offset, length, doc, start))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(by_doc[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+    lost = whole = 0
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length, _, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+        lost += 0 if at & (at - 1) == 0 else packing.CAPACITY - at
+        members = [n for _, n, doc, start in parts if start == 0 and n == sizes[doc]]
+        whole += bool(members) and len(members) == packing.class_of(min(members))
+    assert lost < 0.005 * sum(sizes) + packing.CAPACITY
+    assert len(by_sequence) - before < 80 and (lengths not in ("spread", "half") or p.regular > 0.7 * sum(len(x) > 1 for x in by_sequence.values()))
+    cut = sum(len(by_doc[i]) > 1 for i, n in enumerate(sizes) if n <= packing.CAPACITY)
+    assert lengths != "spread" or cut < 0.1 * len(sizes)
 
 
 def test_packing(spark, frame, corpus):
@@ -113,5 +166,9 @@ def test_packing(spark, frame, corpus):
         size = sum(r.length for r in parts)
         assert size <= packing.CAPACITY
         lost += 0 if size & (size - 1) == 0 else packing.CAPACITY - size
-    assert lost <= 3 * 2 * packing.CAPACITY  # at most about one unfilled sequence a worker, and a little more
+    assert lost == 0  # a worker's last sequence is cut at powers of two
     assert packing.pack_documents(spark, frame([]), WORDS).count() == 0
+    odd = frame([(1, "a b", 3, "x"), (1, "a b", 4, "y"), (None, None, 5, "z"), (2, "", 6, None), (3, "word " * 100_000, 1, "")], "doc_id long, text string, start int, ids string")
+    found = packing.pack_documents(spark, odd, WORDS).collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in found if r.start == 0) == [("1", 3), ("1", 3), ("2", 1), ("3", 100_001), ("None", 1)]
+    assert sum(r.length for r in found) == 100_009
