@@ -5,18 +5,20 @@ order, rare shingles first. Two sets that reach the threshold share at least
 ``l`` tokens of their ``l``-prefixes, for every ``l``; a document picks the
 ``l`` with the least estimated cost, and a pair must share ``min(l, l')``
 tokens of those levels, and as many as its sizes still require, before its
-whole sets are compared. Every link is decided on the whole sets.
-
-Plan: equal sets collapse into classes first. Prefix tokens are sorted by
-token, and each class is tried against the leader of each run it is in, which
-is linear in the postings; what that links becomes one component. Only pairs
-that are still in different components are then enumerated, so a group of
-copies never expands into its pairs, and no pair is skipped otherwise.
+whole texts are compared, word by word.
+
+Plan: texts of the same words collapse into classes first. Prefix tokens are
+sorted by token and size band, and each class is tried against the leader of
+its run, which is linear in the postings; what that links becomes one
+component. Only pairs that are still in different components then meet, the
+smaller set through its shorter index prefix, in keys of token, size band and,
+for tokens of very many classes, hashed parts. A sketch of each set bounds from
+below how far two differ. No pair is skipped otherwise.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import connected_components
-from .storage import Workspace, small_or_shuffled
+from .storage import Workspace, join_hot, small_or_shuffled
 
 #: Log2 of the counters that estimate shingle frequencies; 4 MB in all, as a
 #: broadcast of fixed size. They only steer the order, never the result.
@@ -38,19 +40,26 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: Postings of one token that go to one task before its run is split.
 RUN_ROWS = 100_000
-#: Meetings of postings that may be counted for each one that is left; with
-#: more, those that leave too little room are dropped as they meet.
-PAIRS_PER_ROW = 8
-#: Meetings for each posting from which stars are tried first, and their
-#: rounds before the remaining pairs are enumerated in any case.
-MEETINGS_PER_ROW = 1000
-STAR_ROUNDS = 6
-
-
-def text_sets(s: textvec.Slice, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a slice."""
-    hashes, bounds = textvec.shingles(textvec.words(s), size)
-    for k in range(len(s)):
+#: Where a token's run is split: classes of its size band that the others are
+#: tried against in a round, and the share of postings outside their token's main
+#: component that a round must bring in for another one to follow.
+LEADERS = 4
+LEAST_GAIN = 0.02
+#: 64-bit words of a set's sketch. A token flips one bit of it, so two sets
+#: differ in as many tokens as their sketches in bits, at least.
+SKETCH = 2
+#: Size bands are wider than the threshold allows sizes to differ by this
+#: factor, so that linked sizes are never two bands apart.
+BAND_SLACK = 1.0001
+
+
+_SIGNED = ["doc_id", "key", "sha", "n", "fp", "block", "counts"]
+
+
+def text_sets(w: textvec.Words, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, bounds = textvec.shingles(w, size)
+    for k in range(len(bounds) - 1):
         yield np.unique(hashes[bounds[k] : bounds[k + 1]])
 
 
@@ -58,21 +67,20 @@ def _signatures(size: int):
     def run(batches):
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for b in batches:
-            ids, ns, fps = b.column(0), [], []
-            for s in textvec.slices(b.column(1)):
-                kept = []
-                for x in text_sets(s, size):
-                    ns.append(len(x))
-                    fps.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    kept.append(x)
+            ns, fps = [], []
+            for s in textvec.slices(b.column(3)):
+                w = textvec.words(s)
+                kept = list(text_sets(w, size))
+                ns += map(len, kept)
+                fps += textvec.word_digests(s, w)
                 np.add.at(counters, np.concatenate(kept) >> textvec.U64(64 - COUNTER_BITS), 1)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "fp", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_SIGNED)
         parts = counters.reshape(BLOCKS, -1)
         used = [i for i in range(BLOCKS) if parts[i].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
-            names=["doc_id", "n", "fp", "block", "counts"],
+            [*(pa.nulls(len(used), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
+            names=_SIGNED,
         )
 
     return run
@@ -126,35 +134,47 @@ def prefix(x: np.ndarray, counts: np.ndarray, load: float, num: int, den: int) -
     return level, x[order[: n - least + level]]
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    flips = np.bincount((x & textvec.U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(size: int, counters, num: int, den: int, run_rows: int):
-    """Each set's prefix, and those of its tokens whose run may be too long."""
+    """Each text's sketch, prefix, and those of its tokens whose run may be too
+    long."""
 
     def run(batches):
         counts = counters.value
         load = float(counts.mean())
         for b in batches:
-            ids = b.column(0).to_pylist()
-            out = ([], [], [], [], [])
+            keys = b.column(0).to_pylist()
+            out = ([], [], [], [], [], [], [])
             for s in textvec.slices(b.column(1)):
-                for k, x in enumerate(text_sets(s, size)):
-                    if len(x) and ids[s.first + k] is not None:
+                w = textvec.words(s)
+                for k, (x, fp) in enumerate(zip(text_sets(w, size), textvec.word_digests(s, w), strict=True)):
+                    if len(x):
                         level, tokens = prefix(x, counts, load, num, den)
                         often = tokens[counts[(tokens >> textvec.U64(64 - COUNTER_BITS)).astype(np.int64)] - load > run_rows]
-                        for to, value in zip(out, (ids[s.first + k], len(x), level, tokens.view(np.int64), often.view(np.int64)), strict=True):
+                        for to, value in zip(out, (keys[s.first + k], fp, len(x), level, sketch(x), tokens.view(np.int64), often.view(np.int64)), strict=True):
                             to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["cls", "n", "level", "tokens", "often"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), *(pa.list_(pa.int64()) for _ in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "fp", "n", "level", "sketch", "tokens", "often"])
 
     return run
 
 
+_MEMBER = ["cls", "n", "level", "pos", "root", *(f"s{k}" for k in range(SKETCH))]
+_POSTING = ["token", "salt", "band", "cls", "n", "level", "pos"]
+
+
 def _runs(batches):
-    """Rows sorted by (token, salt): those whose token another class has too,
-    each with the first class of its run as leader. A salted token (salt above
-    0) has more classes in other runs, so all of its rows stay. Carries one row."""
-    names = ["token", "salt", "cls", "n", "level", "pos"]
+    """Rows sorted by (token, salt, band): those whose (token, salt) another
+    class has too, each with the first class of its band's run as leader. A
+    salted token (salt above 0) has more classes in other runs, so all of its
+    rows stay. Carries one row."""
     held = None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_POSTING))]
         if not len(cols[0]):
             continue
         if held is not None:
@@ -164,178 +184,258 @@ def _runs(batches):
         new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, m))
-        leader = np.repeat(first, length)
-        salted = cols[1] > 0
-        keep = np.repeat(length > 1, length) | salted
-        lead = [cols[i][leader] for i in (2, 3, 4)]
+        keep = np.repeat(length > 1, length) | (cols[1] > 0)
+        new[1:] |= cols[2][1:] != cols[2][:-1]
+        first = np.flatnonzero(new)
+        leader = np.repeat(first, np.diff(np.append(first, m)))
+        lead = [c[leader] for c in cols[3:]]
         if held is not None:
             keep[0] = keep[0] and not held[1]
-            same = leader == 0
-            if held[2] is not None:
-                for x, value in zip(lead, held[2], strict=True):
-                    x[same] = value
+            for x, value in zip(lead, held[2], strict=True):
+                x[leader == 0] = value
         out = [c[keep] for c in cols] + [x[keep] for x in lead]
-        shown = keep[m - 1] or (held is not None and leader[-1] == 0 and held[1])
-        held = ([c[-1:] for c in cols], bool(shown), tuple(x[-1] for x in lead))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*names, "l_cls", "l_n", "l_level"])
-
-
-_RUN_SCHEMA = "token long, salt long, cls long, n long, level int, pos int, l_cls long, l_n long, l_level int"
-
+        held = ([c[-1:] for c in cols], bool(keep[m - 1]), tuple(x[-1] for x in lead))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*_POSTING, *(f"l_{x}" for x in _POSTING[3:])])
+
+
+_RUN_SCHEMA = "token long, salt long, band int, cls long, n long, level int, pos int, l_cls long, l_n long, l_level int, l_pos int"
+
+
+def _word_sets(text: str, size: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as they are, for slices in which two words or shingles
+    have one hash."""
+    low = bytes(textvec.LOWER[np.frombuffer(text.encode(), np.uint8)])
+    words = bytes(np.where(textvec.BLANK[np.frombuffer(low, np.uint8)], np.uint8(32), np.frombuffer(low, np.uint8))).split()
+    return {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))} if words else set()
+
+
+def linked(s: textvec.Slice, size: int, num: int, den: int) -> np.ndarray:
+    """Which pairs of texts (0 and 1, 2 and 3, ...) reach the threshold, on the
+    words themselves: hashes name words and shingles only where all that share
+    one are found to be the same bytes."""
+    w = textvec.words(s)
+    _, first, name = np.unique(w.hash, return_index=True, return_inverse=True)
+    length = w.end - w.start
+    sound = bool((length == length[first[name]]).all() and w.same_bytes(w.start, w.end, w.start[first[name]]).all())
+    hashes, bounds = textvec.shingles(w, size)
+    start, _ = textvec.shingle_starts(w, size)
+    text = np.repeat(np.arange(len(s)), np.diff(bounds))
+    _, one, shingle = np.unique(hashes, return_index=True, return_inverse=True)
+    many = np.minimum(np.diff(w.first)[text], size)
+    name = np.append(name, np.full(size, -1))
+    sound = sound and bool((many == many[one[shingle]]).all())
+    for k in range(size):
+        sound = sound and bool(((name[start + k] == name[start[one[shingle]] + k]) | (many <= k)).all())
+    if not sound:
+        texts = [bytes(s.data[i:j]).decode() for i, j in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+        pairs = [(_word_sets(x, size), _word_sets(y, size)) for x, y in zip(texts[::2], texts[1::2], strict=True)]
+        return np.array([den * len(x & y) >= num * len(x | y) for x, y in pairs], bool)
+    distinct = np.unique(text * max(len(one), 1) + shingle)
+    text, shingle = np.divmod(distinct, max(len(one), 1))
+    sizes = np.bincount(text, minlength=len(s)).reshape(-1, 2).sum(1)
+    pair, seen = np.unique((text // 2) * max(len(one), 1) + shingle, return_counts=True)
+    both = np.bincount((pair // max(len(one), 1))[seen == 2], minlength=len(s) // 2)
+    return den * both >= num * (sizes - both)
+
+
+def _linked(size: int, num: int, den: int):
+    """Rows (a, b, x, y) of two texts each: the (a, b) that reach the threshold."""
 
-def _overlaps(num: int, den: int):
     def run(batches):
         for b in batches:
-            xs, ys = b.column(2), b.column(3)
-            keep = []
-            for i in range(b.num_rows):
-                x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            side = np.arange(b.num_rows)
+            texts = pa.concat_arrays([b.column(2), b.column(3)]).take(pa.array(np.stack([side, side + b.num_rows], 1).ravel()))
+            keep = [linked(s, size, num, den) for s in textvec.slices(texts, together=2)]
+            yield b.select([0, 1]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
     return run
 
 
 class JaccardJoin:
-    """One run of the join over ``docs``; see :func:`jaccard_components`."""
+    """One run of the join over ``docs``; see :func:`jaccard_components`.
+
+    ``key`` finds a document's text again: its id, or a hash of the text where
+    it has none. A class is all texts of the same words, and has a number of
+    its own, as ids may repeat."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str):
         self.spark, self.size, self.num, self.den = spark, size, num, den
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        text = F.col(text_col)
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
         self.work = Workspace(spark, "jaccard")
         self.edges: DataFrame | None = None
 
-    def classes(self) -> DataFrame:
-        """Writes each document's size and set fingerprint; classes of equal sets."""
-        sig = self.work.write(self.docs.mapInArrow(_signatures(self.size), "doc_id long, n long, fp binary, block int, counts binary"), "signatures")
+    def sign(self) -> None:
+        """Writes each document's size and digest, and the classes."""
+        sig = self.work.write(self.docs.mapInArrow(_signatures(self.size), "doc_id long, key long, sha binary, n long, fp binary, block int, counts binary"), "signatures")
         self.counters = self.spark.sparkContext.broadcast(_counters(sig))
-        self.signed = sig.where("block is null").select("doc_id", "n", "fp")
-        return self.work.write(self.signed.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("cls")).where("cls is not null"), "classes")
-
-    def postings(self, classes: DataFrame) -> DataFrame:
-        num, den, counters = self.num, self.den, self.counters
-        rows = self.docs.mapInArrow(_prefixes(self.size, counters, num, den, RUN_ROWS), "cls long, n long, level int, tokens array<long>, often array<long>")
-        rows = rows.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-        rows = rows.select("cls", "n", "level", "often", F.posexplode("tokens").alias("pos", "token"))
-        parts = 1 + int(counters.value.max()) // RUN_ROWS
+        self.signed = sig.where("block is null").select("doc_id", "key", "sha", "n", "fp").withColumn("me", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+        classes = self.signed.where("n > 0").groupBy("fp", "n").agg(F.min("me").alias("least"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.count("*").alias("rows"))
+        self.classes = self.work.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+    def _band(self, n: str):
+        return F.floor(F.log(F.col(n).cast("double")) / math.log(self.den / self.num * BAND_SLACK)).cast("int") if self.num < self.den else F.col(n).cast("int")
+
+    def postings(self) -> DataFrame:
+        rows = self.docs.select("key", "text").mapInArrow(_prefixes(self.size, self.counters, self.num, self.den, RUN_ROWS), "key long, fp binary, n long, level int, sketch array<long>, tokens array<long>, often array<long>")
+        rows = rows.join(self.classes.select("key", "fp", "cls"), ["key", "fp"]).dropDuplicates(["key", "fp"]).drop("key", "fp")
+        self.prefixes = self.work.write(rows, "prefixes")
+        rows = self.prefixes.select("cls", "n", "level", "often", self._band("n").alias("band"), F.posexplode("tokens").alias("pos", "token"))
+        parts = 1 + int(self.counters.value.max()) // RUN_ROWS
         salt = F.when(F.array_contains("often", F.col("token")), 1 + F.pmod(F.xxhash64("cls"), F.lit(parts))).otherwise(0).cast("long")
-        rows = rows.select("token", salt.alias("salt"), "cls", "n", "level", (F.col("pos") + 1).alias("pos"))
-        runs = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls").mapInArrow(_runs, _RUN_SCHEMA)
+        rows = rows.select("token", salt.alias("salt"), "band", "cls", "n", "level", (F.col("pos") + 1).alias("pos"))
+        runs = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "band", "pos", "cls").mapInArrow(_runs, _RUN_SCHEMA)
         return self.work.write(runs, "postings")
 
-    def _pairs(self, near: DataFrame, early: bool) -> DataFrame:
+    def _want(self, a: str, b: str) -> str:
+        """The overlap that two sizes need."""
+        return f"(({self.num} * ({a} + {b}) + {self.num + self.den - 1}) div {self.num + self.den})"
+
+    def _room(self) -> str:
+        """Whether a shared token leaves room for that overlap: with l the lesser
+        level, it does for each of a linked pair's first l shared tokens."""
+        return f"least(level_a, level_b) + least(n_a - pos_a, n_b - pos_b) >= {self._want('n_a', 'n_b')}"
+
+    def _alike(self, a: str, b: str, to_a: str = "", to_b: str = "") -> str:
+        """Whether two sketches differ in no more bits than linked sets may
+        differ in tokens."""
+        apart = " + ".join(f"bit_count({a}s{k}{to_a} ^ {b}s{k}{to_b})" for k in range(SKETCH))
+        n, m = f"{a}n{to_a}", f"{b}n{to_b}"
+        return f"{apart} <= {n} + {m} - 2 * {self._want(n, m)}"
+
+    def _pairs(self, near: DataFrame) -> DataFrame:
         """Pairs (a, b) of rows (a, b, n_a, n_b, level_a, level_b, pos_a,
-        pos_b), one for each shared token, that may be linked.
-
-        With l the lesser level, a linked pair's first l shared tokens have
-        level l at most, and each leaves room for the overlap that the sizes
-        need. ``early`` drops rows that leave too little before pairs are
-        counted, so what crosses the exchange is small where many rows meet;
-        else all shared tokens are counted, which bounds the overlap closer.
-        """
-        num, den = self.num, self.den
-        least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"
-        want = f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}"
-        level = "least(level_a, level_b)"
-        if early:
-            near = near.where(f"{level} + least(n_a - pos_a, n_b - pos_b) >= {want}")
-        at = f"greatest(pos_a - n_a + {least('n_a')}, pos_b - n_b + {least('n_b')}) <= {level}"
-        counted = near.groupBy("a", "b", "n_a", "n_b", "level_a", "level_b").agg(F.count("*").alias("shared"), F.count(F.when(F.expr(at), 1)).alias("matched"))
-        counted = counted.where(f"matched >= {level}")
-        if not early:
-            rest = f"greatest({least('n_a')} - level_a, {least('n_b')} - level_b)"
-            counted = counted.where(f"shared + {rest} >= {want}")
-        return counted.select("a", "b")
-
-    def _length(self, a: str, b: str):
-        return F.expr(f"{self.num} * greatest({a}, {b}) <= {self.den} * least({a}, {b})")
+        pos_b), one for each shared token that leaves room, that may be linked:
+        as many tokens as the lesser level, and with what is left behind the
+        last of them enough for the overlap."""
+        rest = F.min(F.expr("least(n_a - pos_a, n_b - pos_b)")).alias("rest")
+        counted = near.groupBy("a", "b", "n_a", "n_b", "level_a", "level_b").agg(F.count("*").alias("shared"), rest)
+        return counted.where(f"shared >= least(level_a, level_b) and shared + rest >= {self._want('n_a', 'n_b')}").select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets reach the threshold."""
-        size = self.size
+        """The pairs (a, b) of classes whose whole texts reach the threshold."""
         pairs = self.work.write(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = self.docs.join(small_or_shuffled(wanted), "doc_id", "left_semi")
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = self.work.write(self.classes.select("cls", "key", "fp").join(small_or_shuffled(wanted), "cls", "left_semi"), "wanted")
 
-        def sets(batches):
+        def signed(batches):
             for b in batches:
-                found = [x.tobytes() for s in textvec.slices(b.column(1)) for x in text_sets(s, size)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "tokens"])
-
-        made = self.work.write(texts.mapInArrow(sets, "id long, tokens binary").where("length(tokens) > 0"), "sets")
-        both = pairs.join(made.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        out = self.work.write(both.select("a", "b", "x", "y").mapInArrow(_overlaps(self.num, self.den), "a long, b long").distinct(), "links")
-        self.work.drop(made, pairs)
+                fps = [fp for s in textvec.slices(b.column(1)) for fp in textvec.word_digests(s, textvec.words(s))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), b.column(1)], names=["key", "fp", "text"])
+
+        texts = self.docs.select("key", "text").join(small_or_shuffled(wanted.select("key").distinct()), "key", "left_semi").mapInArrow(signed, "key long, fp binary, text string")
+        texts = self.work.write(texts.join(wanted, ["key", "fp"]).dropDuplicates(["key", "fp"]).select("cls", "text"), "texts")
+        both = join_hot(self.work, pairs, texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a", ["b"], 10_000)
+        both = join_hot(self.work, both, texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b", ["a"], 10_000, pairs)
+        out = self.work.write(both.select("a", "b", "x", "y").mapInArrow(_linked(self.size, self.num, self.den), "a long, b long").distinct(), "links")
+        self.work.drop(texts, wanted, pairs)
         return out
 
     def _joined(self, links: DataFrame) -> DataFrame:
-        self.edges = links if self.edges is None else self.edges.unionByName(links)
-        return connected_components(self.spark, self.edges, self.work)
+        """Components of all links so far."""
+        if self.edges is None or not links.isEmpty():
+            self.edges = links if self.edges is None else self.edges.unionByName(links)
+            self.roots = connected_components(self.spark, self.edges, self.work)
+        return self.roots
 
     def _placed(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
-        """Postings of tokens that still lie in several components."""
-        rows = postings.select("token", "cls", "n", "level", "pos").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.select("token", "cls", "n", "level", "pos", F.coalesce("root", "cls").alias("root"))
-        groups = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
-        mixed = groups.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")).where("most < all")
-        return self.work.write(rows.join(mixed, "token"), "mixed")
-
-    def _star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each class with one more class of its tokens."""
-        lead = rows.groupBy("token").agg(F.min_by(F.struct("cls", "n", "level", "pos", "root"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
-        near = rows.join(lead, "token").where("root <> lead.root").where(self._length("n", "lead.n"))
-        return self._pairs(_ends(near, ("", "lead.")), False)
-
-    def _all_pairs(self, rows: DataFrame, early: bool) -> DataFrame:
-        """Pairs of classes in different components. A class of a token's main
-        component meets those outside it alone."""
-        names = ("cls", "n", "level", "pos", "root")
-        a = rows.where("root <> main").select("token", "main", F.struct(*names).alias("x"))
-        b = rows.select("token", F.struct(*names).alias("y"))
-        near = a.join(b, "token").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(self._length("x.n", "y.n"))
-        return self._pairs(_ends(near, ("x.", "y.")), early)
+        """Postings of tokens that still lie in several components, with the
+        token's main component and number of postings."""
+        known = self.prefixes.select("cls", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        rows = postings.select(*_POSTING).join(known, "cls").withColumn("root", F.coalesce("root", "cls"))
+        groups = rows.groupBy("token", "root").agg(F.count("*").alias("m"), F.max("salt").alias("last"))
+        largest = F.max(F.struct("m", "root")).alias("largest")
+        mixed = groups.groupBy("token").agg(largest, F.sum("m").alias("all"), F.max("last").alias("last")).where("largest.m < `all`")
+        mixed = mixed.select("token", F.col("largest.root").alias("main"), "all", F.explode(F.sequence(F.least("last", F.lit(1)), "last")).alias("salt"))
+        return self.work.write(rows.join(mixed, ["token", "salt"]), "mixed")
+
+    def _outside(self, rows: DataFrame) -> int:
+        """Postings of split runs outside their token's main component."""
+        return rows.where("salt > 0 and root <> main").count()
+
+    def stars(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each class with LEADERS more of each of its tokens whose run
+        was split, as the parts had leaders of their own: of its size band and
+        those beside it, the first one in the order and some drawn by a hash.
+        As many pairs as postings, whatever they share."""
+        row = F.struct(*_MEMBER)
+        rows = rows.where("salt > 0")
+        drawn = rows.groupBy("token", "band").agg(*(F.min_by(row, F.struct(F.lit(0) if k else F.col("pos"), F.xxhash64("cls", F.lit(turn * LEADERS + k)))).alias(f"l{k}") for k in range(LEADERS)))
+        drawn = drawn.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leads"))
+        runs = rows.select("token", "salt", "band").distinct()
+        near = rows.join(runs.join(drawn, ["token", "band"]), ["token", "salt", "band"]).withColumn("l", F.explode("leads"))
+        near = near.where(F.expr(f"l.root <> root and {self.num} * greatest(n, l.n) <= {self.den} * least(n, l.n) and {self._alike('', 'l.')}"))
+        near = near.select(*_POSTING[3:], *(F.col(f"l.{c}").alias(f"l_{c}") for c in _POSTING[3:]))
+        return self._pairs(_ends(near).where(self._room()))
+
+    def all_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of classes in different components that may be linked, the
+        smaller set as a. A pair needs room for its overlap behind a shared
+        token, so the smaller one's lies within its index prefix; those of
+        a token's main component meet only those outside it. Keys: the size
+        band of the larger set, and parts of both sides, so no task holds more
+        than two parts."""
+        index = f"level + n - pos >= {self._want('n', 'n')}"
+        parts = F.expr(f"1 + `all` div {RUN_ROWS}")
+        part = F.pmod(F.xxhash64("cls"), parts)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        inside = F.col("root") == F.col("main")
+        a = rows.where(index).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        a = a.select("token", "band", F.when(inside, 1).otherwise(0).alias("side"), part.alias("part_a"), every.alias("part_b"), *(F.col(c).alias(f"{c}_a") for c in _MEMBER))
+        b = rows.withColumn("side", F.explode(F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        b = b.select("token", "band", "side", part.alias("part_b"), every.alias("part_a"), *(F.col(c).alias(f"{c}_b") for c in _MEMBER))
+        near = a.join(b, ["token", "band", "side", "part_a", "part_b"])
+        near = near.where(F.expr(f"(n_a < n_b or (n_a = n_b and cls_a < cls_b)) and root_a <> root_b and {self.num} * n_b <= {self.den} * n_a and {self._room()} and {self._alike('', '', '_a', '_b')}"))
+        return self._pairs(near.withColumnsRenamed({"cls_a": "a", "cls_b": "b"}))
 
     def run(self) -> DataFrame:
-        postings = self.postings(classes := self.classes())
-        first = postings.where("cls <> l_cls").where(self._length("n", "l_n"))
-        first = first.select(F.col("cls").alias("a"), F.col("l_cls").alias("b"), F.col("n").alias("n_a"), F.col("l_n").alias("n_b"), F.col("level").alias("level_a"), F.col("l_level").alias("level_b"), F.col("pos").alias("pos_a"), F.lit(1).alias("pos_b"))
-        roots = self._joined(self.verify(self._pairs(first, False)))
-        for turn in range(STAR_ROUNDS + 1):
-            rows = self._placed(postings, roots)
-            work = rows.agg(F.count("*").alias("rows"), F.sum(F.expr("`all` - most")).alias("pairs")).first()
-            if not work.rows:
-                break
-            several = max(work.rows, 100_000)
-            if turn == STAR_ROUNDS or work.pairs <= MEETINGS_PER_ROW * several:
-                roots = self._joined(self.verify(self._all_pairs(rows, work.pairs > PAIRS_PER_ROW * several)))
-                break
-            roots = self._joined(self.verify(self._star(rows, turn)))
+        self.sign()
+        postings = self.postings()
+        near = postings.where(f"cls <> l_cls and {self.num} * greatest(n, l_n) <= {self.den} * least(n, l_n)")
+        roots = self._joined(self.verify(self._pairs(_ends(near).where(self._room()))))
+        rows, turn = self._placed(postings, roots), 0
+        left = self._outside(rows)
+        while left:
+            roots = self._joined(self.verify(self.stars(rows, turn)))
             self.work.drop(rows)
-        named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("fp", F.coalesce("root", "cls").alias("root"))
-        out = self.signed.join(named, "fp", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("doc_id")).alias("component_id"))
-
-
-def _ends(near: DataFrame, sides: tuple[str, str]) -> DataFrame:
-    """Both classes of a meeting, the smaller one as a."""
-    one, two = sides
-    flip = F.col(f"{one}cls") <= F.col(f"{two}cls")
-    pick = lambda c, x, y: F.when(flip, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}"))
+            rows, turn, before = self._placed(postings, roots), turn + 1, left
+            left = self._outside(rows)
+            if before - left <= LEAST_GAIN * before:
+                break
+        roots = self._joined(self.verify(self.all_pairs(rows)))
+        linked = self.classes.select("cls", "least").join(roots.select(F.col("node").alias("cls"), "root").union(roots.select(F.col("root").alias("cls"), "root").distinct()), "cls")
+        linked = self.work.write(linked, "linked")
+        least = linked.groupBy("root").agg(F.min("least").alias("reached"))
+        reached = join_hot(self.work, linked, least, "root", ["cls"]).select("cls", "reached")
+        named = self.classes.select("fp", "cls", "least").join(reached, "cls", "left").select("fp", F.coalesce("reached", "least").alias("first"))
+        out = join_hot(self.work, self.signed.where("fp is not null"), named, "fp", ["doc_id"])
+        out = out.unionByName(self.signed.where("fp is null").withColumn("first", F.col("me")))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("me") == F.col("first")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _ends(near: DataFrame) -> DataFrame:
+    """Class and leader of each posting, the smaller number as a."""
+    flip = F.col("cls") <= F.col("l_cls")
     names = {"cls": "", "n": "n_", "level": "level_", "pos": "pos_"}
-    return near.select(*[pick(c, x, y).alias(f"{to}{end}") for c, to in names.items() for end, x, y in (("a", one, two), ("b", two, one))])
+    pick = lambda c, first: F.when(flip if first else ~flip, F.col(c)).otherwise(F.col(f"l_{c}"))
+    return near.select(*[pick(c, end == "a").alias(f"{to}{end}") for c, to in names.items() for end in "ab"])
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` (size of its set
-    of ``size``-word shingles) and ``component_id``, the smallest doc_id that
-    links of Jaccard similarity ``num/den`` or more reach.
+    of ``size``-word shingles), ``component_id``, the smallest doc_id that links
+    of Jaccard similarity ``num/den`` or more reach, ``kept`` for one text of
+    each group, and the text's SHA-256, null for a null text: of the rows with
+    the group's smallest doc_id, those whose text has the smallest digest are
+    kept, so only rows equal in both are kept together.
 
     Words are the runs outside space and \\t-\\r, A-Z lower-cased. A text with
     fewer than ``size`` words is one shingle; a null, empty or blank text has
-    none and links with nothing. ``doc_id`` names a document: rows that repeat
-    it are returned each, with the same component; a null id keeps its row with
-    a null component. Other columns are ignored, whatever their names. An
-    empty table gives an empty one.
+    none and links with nothing, so its component is its own id. Texts are read
+    whole, however long. Every row is a document by itself: rows that repeat a
+    doc_id link as their own texts do, and a null id never names a component
+    but takes its group's, or null where the group has no id. Ties in the
+    global order change no result. Other columns are ignored, whatever their
+    names. An empty table gives an empty one.
     """
     return JaccardJoin(spark, docs, size, num, den, id_col, text_col).run()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import ship
+from .storage import beside_rows, ship
 
 #: Hashed n-gram dimensions and the n-gram lengths in bytes.
 BUCKETS = 4096
@@ -25,13 +25,15 @@ GRAMS = (1, 2, 3)
 #: Texts whose counts are held at once.
 ROWS = 256
 #: Training texts of one language, chosen by a hash of their id: the classifier
-#: is fitted on about that many, and on TRAIN_TOTAL over all languages.
+#: is fitted on about that many, and on TRAIN_TOTAL over all languages, but
+#: TRAIN_LEAST of each, so that every language is learned.
 TRAIN_PER_LANGUAGE = 800
 TRAIN_TOTAL = 6000
-#: Centroids of one language.
+TRAIN_LEAST = 20
+#: Centroids of one language; fewer where MOST_CENTROIDS over all would be
+#: exceeded, but one at least.
 CENTROIDS = 4
-#: Languages, at most, most frequent first; a bound of the model's size.
-MOST_LANGUAGES = 200
+MOST_CENTROIDS = 1024
 #: A text is rejected when its distance exceeds REJECT_FACTOR times the
 #: distance that this share of training texts stays within, or reaches
 #: REJECT_FLOOR in any case. Short texts vary more, so the limit is per
@@ -131,10 +133,11 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     TRAIN_PER_LANGUAGE of each are taken by a hash of doc_id."""
     ship(spark)
     known = labelled.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not sizes:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((1, BUCKETS)), np.array([-1]), np.full(40, np.inf))
-    each = min(TRAIN_PER_LANGUAGE, TRAIN_TOTAL / len(sizes))
+    each = max(TRAIN_LEAST, min(TRAIN_PER_LANGUAGE, TRAIN_TOTAL / len(sizes)))
+    centroids = max(1, min(CENTROIDS, MOST_CENTROIDS // len(sizes)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map([F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))])[F.col("lang")]
 
@@ -152,7 +155,7 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     x, lang = x[order], lang[order]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     unit = _vectors(x, idf)
-    parts = [spherical_kmeans(unit[lang == i], CENTROIDS) for i in range(len(names)) if (lang == i).any()]
+    parts = [spherical_kmeans(unit[lang == i], centroids) for i in range(len(names)) if (lang == i).any()]
     owner = np.concatenate([np.full(len(p), i) for p, i in zip(parts, [i for i in range(len(names)) if (lang == i).any()], strict=True)])
     model = LanguageModel(names, idf, np.concatenate(parts), owner, np.full(40, np.inf))
     _, score, _ = model.predict(x)
@@ -163,13 +166,16 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     return model
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", whole_rows: bool = False) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` (cosine to the nearest centroid, 0
-    to 1) and ``rejected`` for every row of ``docs``.
+    to 1) and ``rejected`` for every row of ``docs``; with ``whole_rows`` a
+    struct ``row`` of all its columns in the place of ``doc_id``.
 
     A null or letterless text is ``und`` with score 0 and counts as rejected.
     With no model (nothing labelled) every text is ``und``. Ties go to the
-    centroid of the more frequent language. Ids may be null or repeat.
+    centroid of the more frequent language. Ids may be null or repeat: each row
+    is judged by itself. Very long texts are counted whole. Other columns are
+    ignored, whatever their names. An empty table gives an empty one.
     """
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -187,7 +193,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_co
                 out.append(far | (index < 0))
             letter = b.column(2)
             score = pc.if_else(letter, pa.array(np.concatenate(scores) if scores else [], pa.float64()), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.if_else(letter, pa.array(names, pa.string()), "und"), score, pc.or_(pc.invert(letter), pa.array(np.concatenate(out) if out else [], pa.bool_()))], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.if_else(letter, pa.array(names, pa.string()), "und"), score, pc.or_(pc.invert(letter), pa.array(np.concatenate(out) if out else [], pa.bool_()))], names=[b.schema.names[0], "lang_pred", "score", "rejected"])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), letter).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return beside_rows(docs, id_col, whole_rows, [F.col(text_col), letter], run, "lang_pred string, score double, rejected boolean")

@@ -112,3 +112,39 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if with_rows_bounded(df.sparkSession, df, limit) else df
+
+
+def beside_rows(docs: DataFrame, id_col: str, whole_rows: bool, columns: list, run, found: str) -> DataFrame:
+    """``run`` over batches of an opaque first column and ``columns``, which
+    it returns first again, beside columns of the DDL ``found``. The first
+    column is the id as ``doc_id``, or a struct ``row`` of all columns."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    first = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole_rows else F.col(id_col).cast("long").alias("doc_id")
+    given = docs.select(first, *(c.alias(f"_{i}") for i, c in enumerate(columns)))
+    return given.mapInArrow(run, StructType([given.schema[0], *StructType.fromDDL(found)]))
+
+
+#: Rows of one key that go to one task of a join before they are split.
+HOT_ROWS = 100_000
+
+
+def join_hot(work: Workspace, left: DataFrame, right: DataFrame, key: str, spread: list[str], most: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """``left`` left-joined to ``right``, which has one row for each ``key``.
+
+    Keys of more than ``most`` rows are split into parts by a hash of the
+    ``spread`` columns, and their one row of ``right`` is repeated for each
+    part; there are at most rows/most such keys. ``counted`` has the keys of
+    ``left`` where that would be costly to count. Null keys join nothing."""
+    from pyspark.sql import functions as F
+
+    sizes = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    hot = work.write(sizes.select(key, F.expr(f"1 + _rows div {most}").alias("_parts")), "hot")
+    if not hot.count():
+        return left.join(right, key, "left")
+    hot = small_or_shuffled(hot)
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    cut = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
+    whole = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return cut.join(whole, [key, "_part"], "left").drop("_part")

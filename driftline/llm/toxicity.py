@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import ship
+from .storage import beside_rows, ship
 
 #: Words of a passage; the next one begins in its middle.
 PASSAGE = 128
@@ -225,11 +225,14 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], features: Features,
     return ToxicityModel(features, *fit_ordinal(x.astype(np.float64), y, GRADES))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id", whole_rows: bool = False) -> DataFrame:
     """``doc_id``, ``severity`` (expected grade, 0 to GRADES), ``grade`` (the
     most likely one), ``p_toxic`` and ``toxic`` for every row of ``docs``, from
-    its whole text. Null and empty texts have no features: grade 0. Ids may be
-    null or repeat; each row is scored by itself."""
+    its whole text; with ``whole_rows`` a struct ``row`` of all its columns in
+    the place of ``doc_id``. Null and empty texts have no features: grade 0.
+    Ids may be null or repeat; each row is scored by itself. A very long text
+    is as toxic as its strongest passage, wherever that is. Other columns are
+    ignored, whatever their names. An empty table gives an empty one."""
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -240,7 +243,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col:
             p = np.concatenate(parts) if parts else np.zeros((0, GRADES + 1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p @ np.arange(GRADES + 1)), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0]), pa.array(1 - p[:, 0] >= TOXIC_AT)],
-                names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
+                names=[b.schema.names[0], "severity", "grade", "p_toxic", "toxic"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return beside_rows(docs, id_col, whole_rows, [F.col(text_col)], run, "severity double, grade int, p_toxic double, toxic boolean")

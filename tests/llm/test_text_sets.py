@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from driftline.llm import textvec
 from driftline.llm.components import connected_components
-from driftline.llm.jaccard_join import jaccard_components, prefix
+from driftline.llm.jaccard_join import jaccard_components, linked, prefix, sketch
 from driftline.llm.storage import Workspace
 
 
@@ -76,6 +76,16 @@ def test_prefixes_of_linked_sets_share_enough():
             assert len(np.intersect1d(a, b)) >= min(la, lb)
 
 
+def test_sketches_differ_no_more_than_sets():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 60, 400):
+        for _ in range(50):
+            x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[r.random(len(x)) > 0.2], r.integers(0, 1 << 63, 1 + n // 9).astype(np.uint64)]))
+            bits = int(np.bitwise_count((sketch(x) ^ sketch(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (sketch(x) == sketch(x[::-1])).all()
+
+
 def test_join_matches_brute_force(spark, frame, corpus):
     for size, num, den in ((4, 85, 100), (2, 1, 2)):
         sets, links = jaccard_links(corpus, size, num, den)
@@ -98,28 +108,60 @@ def test_join_of_one_group_whose_members_differ(spark, frame, monkeypatch):
         rows.append((k, " ".join(w)))
     _, links = jaccard_links(rows, 4, 85, 100)
     root = components_of([i for i, _ in rows], links)
-    for most, few, run in ((1000, 8, 100_000), (0, 0, 100_000), (1000, 0, 2)):
+    for run in (100_000, 5):
         monkeypatch.setattr(jaccard_join, "RUN_ROWS", run)
-        monkeypatch.setattr(jaccard_join, "MEETINGS_PER_ROW", most)
-        monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", few)
         assert {r.doc_id: r.component_id for r in jaccard_components(spark, frame(rows)).collect()} == root
 
 
-def test_early_filter_alone_loses_nothing(spark, frame, monkeypatch, corpus):
+def test_pairs_are_found_without_leaders(spark, frame, monkeypatch, corpus):
+    """All links through the size bands and index prefixes alone."""
     from driftline.llm.jaccard_join import JaccardJoin
 
-    kept = JaccardJoin._pairs
-    monkeypatch.setattr(JaccardJoin, "_pairs", lambda self, near, early: kept(self, near, True))
-    _, links = jaccard_links(corpus, 4, 6, 10)
-    out = jaccard_components(spark, frame(corpus), 4, 6, 10).collect()
-    assert {r.doc_id: r.component_id for r in out} == components_of([i for i, _ in corpus], links)
+    calls, kept = [], JaccardJoin.verify
+
+    def verify(self, pairs):
+        calls.append(1)
+        return kept(self, pairs.limit(0) if len(calls) == 1 else pairs)
+
+    monkeypatch.setattr(JaccardJoin, "verify", verify)
+    for num, den in ((6, 10), (85, 100)):
+        calls.clear()
+        _, links = jaccard_links(corpus, 4, num, den)
+        out = jaccard_components(spark, frame(corpus), 4, num, den).collect()
+        assert {r.doc_id: r.component_id for r in out} == components_of([i for i, _ in corpus], links)
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_words_that_a_rolling_hash_confuses(spark, frame):
+    a, b = thue_morse(1024), thue_morse(1024, 1)
+    rows = [(1, a), (2, b), (3, a + b), (4, b + a), (5, f"x {a} y z u"), (6, f"x {b} y z u"), (7, f"X  {a.upper()} y z u")]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark, frame(rows)).collect()}
+    assert out == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (2, 5), 6: (2, 6), 7: (2, 5)}
+
+
+def test_pairs_are_decided_on_words_where_hashes_agree(monkeypatch):
+    texts = ["a b c d e f", "a b c d e f g", "a b c", "a b d", "A b\nC", "a  b c", "é b c d", "é b c d"]
+    want = [True, False, True, True]
+    s = next(textvec.slices(pa.array(texts), together=2))
+    assert linked(s, 4, 60, 100).tolist() == want
+    monkeypatch.setattr(textvec, "_chain", lambda hashes, size: np.zeros(len(hashes[0]), np.uint64))
+    assert linked(s, 4, 60, 100).tolist() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(textvec.Words, "span_hash", lambda self, start, end: np.zeros(len(start), np.uint64))
+    assert linked(s, 4, 60, 100).tolist() == want
+    assert [linked(x, 4, 60, 100).tolist() for x in textvec.slices(pa.array(texts), 1, together=2)] == [[x] for x in want]
 
 
 def test_join_of_odd_tables(spark, frame):
     assert jaccard_components(spark, frame([])).count() == 0
     rows = [(1, "a b c d e", "x", "y"), (1, "a b c d e", "x", "y"), (None, "a b c d e", "x", "y"), (3, None, "x", "y"), (0, "A B\nC d e", "x", "y")]
+    rows += [(7, "p q r s t u v w", "", ""), (7, "q " * 30, "", ""), (5, "q " * 9, "", ""), (8, "p q r s t u v w", "", ""), (None, "no id here at all", "", ""), (None, "", "", ""), (4, " \n ", "", "")]
     out = jaccard_components(spark, frame(rows, "doc_id long, text string, cls string, component_id string")).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in out) == [(-1, 2, 0), (0, 2, 0), (1, 2, 0), (1, 2, 0), (3, 0, 3)]
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out)
+    assert found == [(-1, 0, -1), (-1, 2, -1), (-1, 2, 0), (0, 2, 0), (1, 2, 0), (1, 2, 0), (3, 0, 3), (4, 0, 4), (5, 1, 5), (7, 1, 5), (7, 5, 7), (8, 5, 7)]
 
 
 def test_components(spark):
@@ -138,15 +180,16 @@ def test_runs_do_not_depend_on_batches():
         n = int(r.integers(1, 40))
         token = np.sort(r.integers(0, 12, n))
         salt = np.where(token % 5 == 0, r.integers(1, 3, n), 0)
-        order = np.lexsort((np.arange(n), salt, token))
-        cols = [token[order], salt[order], np.arange(n), r.integers(1, 9, n), r.integers(1, 4, n).astype(np.int32), r.integers(1, 9, n).astype(np.int32)]
-        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcdef"))
+        band = r.integers(1, 3, n).astype(np.int32)
+        order = np.lexsort((np.arange(n), band, salt, token))
+        cols = [token[order], salt[order], band[order], np.arange(n), r.integers(1, 9, n), r.integers(1, 4, n).astype(np.int32), r.integers(1, 9, n).astype(np.int32)]
+        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcdefg"))
         rows = list(zip(*(c.tolist() for c in cols), strict=True))
         want = []
         for x in rows:
             run = [y for y in rows if y[:2] == x[:2]]
             if len(run) > 1 or x[1] > 0:
-                want.append((*x, *run[0][2:5]))
+                want.append((*x, *next(y for y in run if y[2] == x[2])[3:]))
         cuts = np.unique(np.append([0, n], r.integers(0, n, 6)))
         parts = [whole.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [whole.slice(0, 0)]
         out = [tuple(t.values()) for b in _runs(iter(parts)) for t in b.to_pylist()]
