@@ -14,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, with_rows_bounded
+from .storage import Workspace
 
 BITS = 5
 #: A cell with more than 1/PARTS of the rows is split into hashed parts.
 PARTS = 1024
-#: Distinct values of a dimension that are ranked; with more they are hashed.
-RANKED = 10_000
 
 
 def _gray(x: int) -> int:
@@ -70,39 +68,51 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*(F.lit(k) for k in range(bits - 1, -1, -1))), start, step)["index"]
 
 
-def _ranked(rows: DataFrame, name: str) -> DataFrame:
-    """Column ``name`` replaced by its quantised rank among the distinct
-    values, or by a hash where they are too many to rank."""
-    values = rows.groupBy(name).agg(F.count("*").alias("_rows"))
-    if not with_rows_bounded(rows.sparkSession, values, RANKED):
-        return rows.withColumn(name, F.pmod(F.xxhash64(name), F.lit(1 << BITS)).cast("int"))
-    place = F.row_number().over(Window.orderBy(F.col(name).asc_nulls_first())) - 1
-    codes = values.select(F.col(name).alias("_value"), F.floor(place * (1 << BITS) / F.count("*").over(Window.partitionBy(F.lit(0)))).cast("int").alias("_code"))
-    return rows.join(F.broadcast(codes), F.col(name).eqNullSafe(F.col("_value"))).drop(name, "_value").withColumnRenamed("_code", name)
-
-
-def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", dimensions: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def _coded(work: Workspace, rows: DataFrame, name: str) -> Column:
+    """The quantised rank of column ``name`` among its distinct values, nulls
+    first. The values are ranked by ranges, so their number is no matter; what
+    comes to the driver is the first value of each of the 2**BITS codes."""
+    values = rows.select(F.col(name).alias("value")).distinct()
+    ranges = work.write(values.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "values")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    sizes = sizes.select("part", before.alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("values"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first())) - 1
+    ranked = ranges.join(F.broadcast(sizes), "part").withColumn("place", F.col("before") + place)  # a row for each range
+    code = F.floor(F.col("place") * (1 << BITS) / F.col("values")).cast("int")
+    cuts = ranked.where("value is not null").groupBy(code.alias("code")).agg(F.min("value").alias("first")).orderBy("code").collect()
+    out = F.lit(0)
+    for r in cuts:
+        out = F.when(F.col(name) >= F.lit(r["first"]), r["code"]).otherwise(out)
+    return out
+
+
+def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", dimensions: tuple[str, ...] = ("lang", "source"), carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and
-    ``curve`` (the cell's index) for every row.
+    ``curve`` (the cell's index) for every row, and a struct ``row`` of the
+    columns ``carry`` if there are any.
 
     The curve runs over ``dimensions`` and the logarithm of the size. Law
     ``rows``: shard counts differ by one at most. Nulls in a dimension form a
     value of their own; a null text has size 1 and the checksum of nothing. A
     null or repeated doc_id is one more row; rows equal in every column are
-    interchangeable. ``grown_shard`` is null under this law.
+    interchangeable. ``grown_shard`` is null under this law. Texts are measured
+    whole, however long; other columns are ignored, whatever their names. An
+    empty table gives an empty one.
     """
     work = Workspace(spark, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    more = ["row"] if carry else []
     rows = work.write(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            *(F.col(c).cast("string").alias(f"dim_{i}") for i, c in enumerate(dimensions)),
+            *(F.col(c).cast("string").alias(f"dim_{i}") for i, c in enumerate(dimensions)), *carried,
         ),
         "rows",
     )
     names = [f"dim_{i}" for i in range(len(dimensions))]
-    for name in names:
-        rows = _ranked(rows, name)
+    rows = rows.withColumns({name: _coded(work, rows, name) for name in names})
     rows = rows.withColumn("log_size", F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size").cast("double"))).cast("int")))
     axes = [*names, "log_size"]
     cells = rows.groupBy(*axes).agg(F.count("*").alias("n"))
@@ -110,7 +120,7 @@ def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, id_co
     cells = work.write(cells.withColumns({"curve": hilbert_index([F.col(c) for c in axes]), "parts": F.greatest(F.lit(1), F.ceil(F.col("n") * PARTS / total)).cast("long"), "total": total}), "cells")
     #: At most 2**(BITS * axes) cells, then PARTS more buckets: both bounded.
     placed = rows.join(F.broadcast(cells.drop("n")), axes).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    placed = work.write(placed.select("doc_id", "size", "text_crc32", "curve", "part", "total"), "placed")
+    placed = work.write(placed.select("doc_id", "size", "text_crc32", "curve", "part", "total", *more), "placed")
     buckets = placed.groupBy("curve", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("curve", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     buckets = work.write(buckets.select("curve", "part", before.alias("before")), "buckets")
@@ -118,4 +128,13 @@ def hilbert_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, id_co
     ranked = placed.join(F.broadcast(buckets), ["curve", "part"]).withColumn("rank", F.col("before") + place - 1)
     shard = F.expr(f"(rank * {shards}) div total")
     begin = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("rank") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("rank") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *more)
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = 16, **options) -> None:
+    """Write ``docs`` with all of its columns, a folder for each shard, in the
+    order of the curve, so that a scan passes over files and row groups by
+    their statistics."""
+    found = hilbert_shards(spark, docs, shards, carry=tuple(docs.columns), **options)
+    found = found.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    found.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)

@@ -3,8 +3,9 @@
 An archive is a Parquet table of rows (record, chunk): the bytes of a record's
 rows in order of chunk number, record after record, are a WARC/1.1 file. A
 payload is cut into chunks as views of its buffer, and each row carries the
-SHA-256 of the payload so far, so writer, reader and damage reports work chunk
-by chunk and nothing allocates a whole record a second time.
+SHA-256 of the payload so far, which the reader compares after every chunk, so
+writer, reader and damage reports work chunk by chunk and nothing allocates a
+whole record a second time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace, ship, small_or_shuffled
+from .storage import Workspace, join_hot, ship, with_rows_bounded
 
 CHUNK_BYTES = 1 << 16
 #: Bytes of chunk rows that are handed to Spark at once.
@@ -88,6 +89,10 @@ class RecordReader:
         self._left -= len(part)
         self._tail += bytes(memoryview(data)[len(part) :])
 
+    def running(self) -> str:
+        """The digest of the payload so far."""
+        return self._payload.hexdigest()
+
     def result(self) -> tuple:
         """page_id, payload bytes, digest, type and the page referred to; the
         digest of a response is that of the bytes read, and must be the one in
@@ -140,12 +145,14 @@ def _read(batches: Iterable[pa.RecordBatch]):
     reader, due = None, 0
     for b in batches:
         out, data = [], b.column(3)
-        for chunk, chunks, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), range(b.num_rows), strict=True):
+        for record, chunk, chunks, digest, k in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), range(b.num_rows), strict=True):
             if chunk == 0:
                 reader, due = RecordReader(), 0
             if reader is None or chunk != due:
                 raise ValueError("a chunk is missing")
             reader.feed(memoryview(data[k].as_buffer()))
+            if reader.running() != digest:
+                raise ValueError(f"chunk {chunk} of record {record} is damaged: its running digest differs")
             due += 1
             if due == chunks:
                 out.append(reader.result())
@@ -163,8 +170,12 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     twice = rows.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    twice = Workspace(pages.sparkSession, "warc").write(twice, "repeated")
-    out = rows.join(small_or_shuffled(twice, 100_000), "digest", "left")
+    work = Workspace(pages.sparkSession, "warc")
+    twice = work.write(twice, "repeated")
+    if with_rows_bounded(pages.sparkSession, twice, 100_000):
+        out = rows.join(F.broadcast(twice), "digest", "left")
+    else:
+        out = join_hot(work, rows, twice, "digest", ["page_id"], 10_000)
     return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

@@ -73,18 +73,16 @@ def test_shards(spark, frame, corpus, monkeypatch):
     monkeypatch.setattr(hilbert_shards, "PARTS", 8)
     rows = [(i, t, ["en", None, "de"][i % 3], f"s{i % 5}", 1) for i, t in corpus] + [(None, "x", "en", None, 1), (5, "y", "en", "s1", 1)] + [(20_000 + i, "same", "en", "s0", 1) for i in range(300)]
     ddl = "doc_id long, text string, lang string, source string, rank int"
-    for limit in (10_000, 1):
-        monkeypatch.setattr(hilbert_shards, "RANKED", limit)
-        out = hilbert_shards.hilbert_shards(spark, frame(rows, ddl), 16).collect()
-        assert sorted(str((r.doc_id, r.size, r.text_crc32)) for r in out) == sorted(str((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t, *_ in rows)
-        slots = {}
-        for r in out:
-            slots.setdefault(r.shard, []).append(r.slot)
-            assert r.law == "rows" and r.grown_shard is None
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        assert set(slots) == set(range(16)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-        runs = sorted((r.curve, r.shard) for r in out)
-        assert [s for _, s in sorted((c, s) for c, s in runs)] == sorted(s for _, s in runs)
+    out = hilbert_shards.hilbert_shards(spark, frame(rows, ddl), 16).collect()
+    assert sorted(str((r.doc_id, r.size, r.text_crc32)) for r in out) == sorted(str((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t, *_ in rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(slots) == set(range(16)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    runs = sorted((r.curve, r.shard) for r in out)
+    assert [s for _, s in sorted((c, s) for c, s in runs)] == sorted(s for _, s in runs)
     assert hilbert_shards.hilbert_shards(spark, frame([], ddl)).count() == 0
     assert hilbert_shards.hilbert_shards(spark, frame(rows[:1], ddl)).count() == 1
 
@@ -132,3 +130,37 @@ def test_embeddings_of_odd_tables(spark, frame):
 def test_unit_rows():
     x, good = embedding_dedup.unit_rows(pa.array([[3.0, 4.0], None, [1e300, 0.0], [0.0, 0.0]]))
     assert good.tolist() == [True, False, True, False] and np.allclose(x[0], [0.6, 0.8]) and x[2, 0] == 1
+
+
+def test_shard_files_are_passed_over(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = f"{tmp_path}/shards"
+    hilbert_shards.write_shards(spark, docs, path)
+    back = spark.read.parquet(path)
+    assert sorted(back.select(*docs.columns).collect(), key=str) == sorted(docs.collect(), key=str)
+    groups = [g for f in sorted((tmp_path / "shards").rglob("*.parquet")) for i in range(pq.ParquetFile(f).metadata.num_row_groups) for g in [pq.ParquetFile(f).metadata.row_group(i)]]
+    column = lambda g, name: next(c for c in (g.column(k) for k in range(g.num_columns)) if c.path_in_schema == name).statistics
+    for name in ("lang", "source"):
+        values = [r[0] for r in docs.select(name).where(f"{name} is not null").distinct().collect()]
+        hit = [sum(column(g, name).has_min_max and column(g, name).min <= v <= column(g, name).max for g in groups) for v in values]
+        assert sum(hit) < 0.6 * len(values) * len(groups)
+
+
+def test_many_values_of_a_dimension_keep_their_order(spark, frame):
+    rows = [(i, "t" * (1 + i % 5), "en", f"source {i * 7919 % 30000:05d}") for i in range(30_000)]
+    docs = frame(rows, "doc_id long, text string, lang string, source string")
+    out = hilbert_shards.hilbert_shards(spark, docs, carry=("source",)).collect()
+    spans = {}
+    for r in out:
+        spans.setdefault(r.shard, []).append(r.row.source)
+    assert len(spans) == 16 and max(map(len, spans.values())) - min(map(len, spans.values())) <= 1
+    width = [int(max(v)[7:]) - int(min(v)[7:]) for v in spans.values()]
+    assert sorted(width)[8] < 10_000  # a hash would spread every shard over all of them
+
+
+def test_vectors_of_several_lengths(spark, frame):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0]), (6, None), (7, []), (8, [0.0, 1.0])]
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_duplicates(spark, frame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True)}

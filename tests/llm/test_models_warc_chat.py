@@ -128,6 +128,70 @@ def test_warc_files_and_damage(spark, frame, tmp_path):
     assert warc.pages_through_warc(spark, frame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_running_digests_are_read(spark, frame, tmp_path):
+    path, bad = f"{tmp_path}/archive", f"{tmp_path}/bad"
+    warc.write_archive(spark, frame([p for p in PAGES if p[0] != 11], "page_id long, url string, html string"), path, 1000)
+    chunks = spark.read.parquet(path)
+    long = chunks.where("chunks > 3").first().record
+    for where in (f"record = {long} and chunk = 2", "chunks = 1"):
+        chunks.selectExpr("record", "chunk", "chunks", "data", f"case when {where} then 'bad' else digest end as digest").write.mode("overwrite").parquet(bad)
+        with pytest.raises(Exception, match="is damaged"):
+            warc.read_archive(spark, bad).collect()
+    assert warc.read_archive(spark, path).count() == len(PAGES) - 1
+
+
+def test_revisits_without_a_broadcast(spark, frame, monkeypatch):
+    pages = frame([(i, "u", "y" * (100 + i % 3)) for i in range(60)] + [(100, "u", "z" * 120)], "page_id long, url string, html string")
+    want = {r.page_id: r.refers_to for r in warc.pages_through_warc(spark, pages).collect()}
+    monkeypatch.setattr(warc, "with_rows_bounded", lambda *a: False)
+    kept = warc.join_hot
+    monkeypatch.setattr(warc, "join_hot", lambda *a: kept(*a[:5], 7))
+    assert {r.page_id: r.refers_to for r in warc.pages_through_warc(spark, pages).collect()} == want
+    assert want == {100: None} | {i: (i % 3 if i > 2 else None) for i in range(60)}
+
+
+def plain_grams(text):
+    """Letters alone, anything else one blank, counted by a hash, byte by byte."""
+    out, run = np.zeros(language_id.BUCKETS), []
+    for b in text.encode():
+        b = b + 32 if 65 <= b <= 90 else b
+        b = b if 97 <= b <= 122 or b >= 128 else 32
+        if b != 32 or not run or run[-1] != 32:
+            run.append(b)
+    for size in language_id.GRAMS:
+        for i in range(len(run) - size + 1):
+            code = 0
+            for b in run[i : i + size]:
+                code = (code * 256 + b) % (1 << 32)
+            out[(code * 2654435761 + size * 40503) % (1 << 32) >> 20] += 1
+    return out
+
+
+def test_language_equals_a_plain_form(spark, frame, spoken, corpus):
+    docs = frame(spoken, "doc_id long, text string, lang string")
+    model = language_id.fit(spark, docs)
+    rows = [(i, t) for i, t in corpus if t and any(c.isalpha() for c in t)] + [(1000 + i, t) for i, t, _ in spoken[::20]]
+    out = {r.doc_id: r for r in language_id.identify(spark, frame(rows), model).collect()}
+    for i, t in rows:
+        x = np.log1p(plain_grams(t)) * model.idf
+        cosine = model.centroids @ (x / np.linalg.norm(x))
+        assert abs(out[i].score - cosine.max()) < 1e-5
+        near = {model.languages[model.owner[k]] for k in np.flatnonzero(cosine > cosine.max() - 1e-6)}
+        assert out[i].lang_pred in near
+
+
+def test_more_languages_than_any_fixed_number(spark, frame):
+    r = random.Random(2)
+    stems = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for k in range(260)}
+    say = lambda x: " ".join(r.choice(stems[x]) for _ in range(60))
+    rows = [(i, say(x), x) for i, x in enumerate(x for x in stems for _ in range(12 if x < "l250" else 5))]
+    model = language_id.fit(spark, frame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == set(stems) and set(model.owner) == set(range(260))
+    tests = [(i, say(x), x) for i, x in enumerate(stems)]
+    out = {x.doc_id: x.lang_pred for x in language_id.identify(spark, frame([t[:2] for t in tests]), model).collect()}
+    assert np.mean([out[i] == x for i, _, x in tests]) > 0.97
+
+
 def test_perspectives(spark, frame):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|bob|>"), (1, 2, "bob", None), (1, 3, "cy", "Yo"), (1, 3, "ann", "tie"), (2, None, None, "?"), (None, 1, "ann", "lost"), (3, 0, "system", "alone"), (1, 2000, "ann", "late"), (1, 2000, "ann", "late")]
     out = perspectives.rotate_perspectives(spark, frame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, start int")).collect()

@@ -96,6 +96,9 @@ def test_op9(spark, docs):
     assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len((d["text"] or "").encode()) + 1, zlib.crc32((d["text"] or "").encode())) for i, d in docs.items()}
     counts = np.bincount([r.shard for r in out], minlength=16)
     assert counts.max() - counts.min() <= 1 and len({(r.shard, r.slot) for r in out}) == len(out)
+    placed = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert [r.slot for r in placed] == [i for n in counts for i in range(n)]
+    assert [r.curve for r in placed] == sorted(r.curve for r in out)  # a plain sort along the curve
 
 
 def test_op10(spark, docs):
@@ -105,6 +108,21 @@ def test_op10(spark, docs):
     assert np.mean([out[i].toxic for i in clean if i in out]) < 0.02
 
 
+def test_op10_on_labels_it_was_not_fitted_on(spark):
+    """A model that flags nothing fails: two thirds of the labels are learned,
+    the rest are found again."""
+    from driftline.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    held = "crc32(cast(doc_id as string)) % 3 = 1"
+    model = toxicity.fit(spark, docs, labels.where(f"not {held}"))
+    found = toxicity.score(spark, docs, model).join(labels.where(held).selectExpr("doc_id", "toxic as label"), "doc_id").collect()
+    of = lambda label: np.mean([r.toxic for r in found if r.label == label])
+    assert sum(r.label == 1 for r in found) > 100 and of(1) > 0.8 and of(0) < 0.01
+    assert np.mean([r.severity for r in found if r.label == 1]) > 10 * np.mean([r.severity for r in found if r.label == 0])
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage against what it should keep of its own input."""
     import corpus_pipeline as pipeline
@@ -134,3 +152,45 @@ def test_pipeline_stages(spark, docs):
     toxic = {r["doc_id"] for r in rows_of("labels") if r["toxic"] == 1}
     assert len(kept["toxicity"] - toxic) > 0.97 * len(kept["language_id"] - toxic)
     assert {r.doc_id for r in pipeline.run(spark, SF).collect()} == kept["jaccard_join"]
+
+
+def rows_with_odd_ones(spark):
+    """Rows of every kind that a stage may meet, with clashing columns."""
+    base = [r["text"] for r in rows_of("documents") if r["lang"] == "en" and r["text"] and 60 < len(r["text"].split()) < 400][:30]
+    one, two = base[0], base[1]
+    near = " ".join([*two.split()[:-1], "changed"])
+    rows = [(1, one), (2, one), (2, two), (2, two), (None, one), (None, base[2]), (None, base[2]), (3, None), (4, ""), (5, " \n "), (6, "12 !!"), (7, near), (8, "\n".join(base * 40)), (9, base[3].replace(" ", "  ")), (9, base[3])]
+    rows = [(i, t, "en", f"s{k}", k, "x", True) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _sha string, kept boolean").repartition(4)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    stages, docs = dict(pipeline.STAGES), rows_with_odd_ones(spark)
+    all_rows = {r.n_chars: r for r in docs.collect()}
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(all_rows[r.n_chars] == r for r in rows) and len({r.n_chars for r in rows}) == len(rows)
+        kept[name] = {r.n_chars for r in rows}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    texts = {k: r.text for k, r in all_rows.items()}
+    assert kept["language_id"] == {k for k, t in texts.items() if t and any(c.isalpha() for c in t)}
+    assert kept["toxicity"] == set(texts)
+    assert len(kept["exact_dedup"]) == len({norm(t) for t in texts.values()}) and 0 in kept["exact_dedup"] and 2 in kept["exact_dedup"] | {3}
+    assert {norm(texts[k]) for k in kept["exact_dedup"]} == {norm(t) for t in texts.values()}
+    near = kept["jaccard_join"]
+    assert 0 in near and not near & {1, 4, 11} and len(near & {2, 3}) == len(near & {5, 6}) == len(near & {13, 14}) == 1 and {7, 8, 9, 10, 12} <= near
+    pieces = stages["packing"](spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in pieces) == len(texts) and stages["packing"](spark, docs.limit(0), SF).count() == 0
+
+
+def test_a_unique_text_stays_when_its_id_is_repeated(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (2, "unique text of its own")], "doc_id long, text string")
+    for name in ("exact_dedup", "jaccard_join"):
+        assert sorted(tuple(r) for r in dict(pipeline.STAGES)[name](spark, docs, SF).collect()) == [(1, "same text"), (2, "unique text of its own")]
