@@ -41,11 +41,11 @@ def _one_of_each(docs: DataFrame, found: DataFrame, sign: Column, name: str) ->
     by id and signed text, and one row of those that it keeps together."""
     work = Workspace(docs.sparkSession, name)
     counts = work.write(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "changed")
-    changed = small_or_shuffled(counts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & sign.eqNullSafe(F.col("_sha"))
-    marked = docs.join(changed, same, "left")
-    rest = marked.where("_kept is null").select(docs.columns)
-    return rest.unionByName(marked.where("_kept").dropDuplicates(["_id", "_sha"]).select(docs.columns))
+    changed = small_or_shuffled(counts.select(F.col("doc_id").alias("other_id"), F.col("text_sha256").alias("other_sha"), F.col("kept").alias("stays")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), sign.alias("sha"))
+    marked = rows.join(changed, F.col("id").eqNullSafe(F.col("other_id")) & F.col("sha").eqNullSafe(F.col("other_sha")), "left")
+    rest = marked.where("stays is null").select("row.*")
+    return rest.unionByName(marked.where("stays").dropDuplicates(["id", "sha"]).select("row.*"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
