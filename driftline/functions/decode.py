@@ -8,6 +8,8 @@ Arrow UDF only where a value has quotes or escapes.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,11 +117,16 @@ def numeric_canonical(s: Column, strict: bool = True) -> Column:
 
 
 def numeric_text(s: Column, precision: int | None, scale: int | None, strict: bool = True) -> Column:
-    """DECIMAL where Spark can hold every value of the type, else the text."""
+    """DECIMAL where Spark can hold every finite value of the type, NaN being
+    NULL; else the text. A value with more digits than the type's scale is
+    none of the type: it is never rounded."""
     if precision is None or scale is None or not decimal_fits(precision, scale):
         return numeric_canonical(s, strict)
-    value = F.regexp_replace(s, "_", "").try_cast(T.DecimalType(precision, scale))
-    return _or_fail(value.isNotNull(), value, s, "numeric", strict)
+    plain = F.regexp_replace(F.trim(s), "_", "")
+    exact = plain.rlike(rf"^[+-]?(\d+(\.\d{{0,{scale}}}0*)?|\.\d{{0,{scale}}}0*)$")
+    through = numeric_canonical(s, False)  # an exponent is written out first
+    value = F.when(exact, plain.try_cast(T.DecimalType(precision, scale))).when(plain.rlike("[eE]") & through.rlike(rf"^-?\d+(\.\d{{0,{scale}}}0*)?$"), through.try_cast(T.DecimalType(precision, scale)))
+    return F.when(F.lower(plain) == "nan", F.lit(None).cast(T.DecimalType(precision, scale))).otherwise(_or_fail(value.isNotNull(), value, s, "numeric", strict))
 
 
 def decimal_fits(precision: int, scale: int) -> bool:
@@ -262,6 +269,9 @@ def decode(s: Column, pg_type: str, precision: int | None = None, scale: int | N
     special = {"bool": bool_text, "bytea": bytea_hex, "date": date_text, "time": time_micros, "timetz": timetz_text, "timestamp": timestamp_text, "timestamptz": timestamptz_text}
     if pg_type in special:
         return special[pg_type](s, strict)
+    bounded = re.fullmatch(r"numeric\((\d+)(?:,\s*(-?\d+))?\)", pg_type)
+    if bounded:
+        return numeric_text(s, int(bounded[1]), int(bounded[2] or 0), strict)
     if pg_type == "numeric":
         return numeric_text(s, precision, scale, strict)
     if pg_type == "uuid":

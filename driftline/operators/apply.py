@@ -24,7 +24,7 @@ def last_writer_wins(legs: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out if tombstones else out.where(~F.col("deleted")).drop("deleted")
 
 
-def fold(legs: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], present: dict[str, Column], full: Column) -> DataFrame:
+def fold(legs: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], present: dict[str, Column], full: Column, tombstones: bool = False) -> DataFrame:
     """Ordered mutations with partial images.
 
     ``full`` says that a leg is a full image or a delete, ``present[c]`` that a
@@ -32,13 +32,17 @@ def fold(legs: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     each column then takes the last leg that carries it, so a carried NULL
     wins. A delete or a missing opener leaves no row. As a full image carries
     every column, the last carrier is never older than the opener, and one
-    aggregation finds all of it.
+    aggregation finds all of it. ``tombstones`` keeps deleted keys, marked in
+    ``deleted``.
     """
     at = F.struct(*order)
     columns = [F.max_by(F.struct(v), F.when(full | present.get(v, F.lit(True)), at)).alias(v) for v in values]
     opened = F.max_by("deleted", F.when(full, at)).alias("_deleted")
     out = legs.groupBy(*keys).agg(opened, F.max(at).alias("_last"), *columns)
-    return out.where("_deleted is not null and not _deleted").select(*keys, *(F.col(f"_last.{o}") for o in order), *(F.col(f"{v}.{v}") for v in values))
+    row = [*keys, *(F.col(f"_last.{o}") for o in order)]
+    if tombstones:
+        return out.where("_deleted is not null").select(*row, F.col("_deleted").alias("deleted"), *(F.when(~F.col("_deleted"), F.col(f"{v}.{v}")).alias(v) for v in values))
+    return out.where("_deleted is not null and not _deleted").select(*row, *(F.col(f"{v}.{v}") for v in values))
 
 
 def after_truncates(rows: DataFrame, truncates: DataFrame, table: str = "table_id", key: str = "seq") -> DataFrame:
@@ -73,30 +77,68 @@ def with_snapshot(snapshot: DataFrame, legs: DataFrame) -> DataFrame:
     return rows.select(*legs.columns).unionByName(legs)
 
 
-def _spans(log: DataFrame, spread: Column | None, parts: int) -> DataFrame:
-    """``_span``: which of about ``parts`` equal stretches of ``spread`` a row
-    is in. Bounds are quantiles, so a table that holds most of the log is split
-    too. Without ``spread`` all is one stretch."""
-    if spread is None:
-        return log.withColumn("_span", F.lit(0))
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = log.agg(F.percentile_approx(spread.cast("double"), shares, F.lit(1000)).alias("b")).first().b or []
-    cuts = sorted(set(bounds))
-    span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < spread.cast("double"))) if cuts else F.lit(0)
-    return log.withColumn("_span", span)
+#: Rows of one table that one sort may take.
+SORT_ROWS = 1_000_000
+#: Offsets of spans that may be broadcast, after they were counted.
+OFFSETS = 100_000
+
+
+def _tree(x: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """The number of ``cuts`` below x, by halving."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(x > F.lit(cuts[k]), _tree(x, cuts[k + 1 :], first + k + 1)).otherwise(_tree(x, cuts[:k], first))
 
 
-def _running(log: DataFrame, table: str, order: Sequence[str], amount: Column, name: str) -> DataFrame:
-    """Running total of ``amount`` in a table's order, over rows with spans:
-    what the earlier spans hold, plus the total within the row's own. A sort
-    sees one span of one table and no more."""
-    rows = log.withColumn("_amount", amount)
+def _spans(log: DataFrame, table: str, spread: Column | None, parts: int) -> DataFrame | None:
+    """The log with ``_span``, which of about ``parts`` equal stretches of
+    ``spread`` a row is in; None if no table has more rows than a sort may take.
+    Bounds are quantiles, so a table that holds most of the log is split too."""
+    if spread is None or (log.groupBy(table).count().agg(F.max("count")).first()[0] or 0) <= SORT_ROWS:
+        return None
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    placed = log.withColumn("_place", spread.cast("double"))
+    bounds = placed.agg(F.percentile_approx("_place", shares, F.lit(1000)).alias("b")).first().b or []
+    return placed.withColumn("_span", _tree(F.col("_place"), sorted(set(bounds)))).drop("_place")
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, table: str) -> DataFrame:
+    """Rows beside the one offset of their table and span (``_t``, ``_s``)."""
+    offsets = F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets
+    return rows.join(offsets, F.col(table).eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_s"))).drop("_t", "_s")
+
+
+def _running(log: DataFrame, table: str, order: Sequence[str], amount: Column, name: str, spread: Column | None = None, parts: int = 64) -> DataFrame:
+    """Running total of ``amount`` in a table's order. Where a table is too
+    long for a sort: what the earlier spans hold, plus the total within the
+    row's own, so a sort sees one span of one table and no more."""
+    rows = _spans(log, table, spread, parts)
+    if rows is None:
+        whole = Window.partitionBy(table).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return log.withColumn(name, F.sum(amount).over(whole).cast("long"))
+    rows = rows.withColumn("_amount", amount)
     sums = rows.groupBy(table, "_span").agg(F.sum("_amount").alias("_sum"))
     earlier = Window.partitionBy(table).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy(table, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(sums, F.col(table).eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_s")))
-    return joined.withColumn(name, (F.col("_before") + F.sum("_amount").over(within)).cast("long")).drop("_amount", "_before", "_t", "_s")
+    return _with_offsets(rows, sums, table).withColumn(name, (F.col("_before") + F.sum("_amount").over(within)).cast("long")).drop("_amount", "_before", "_span")
+
+
+def last_known(log: DataFrame, table: str, order: Sequence[str], value: Column, name: str, spread: Column | None = None, parts: int = 64, largest: bool = False) -> DataFrame:
+    """``name``: the last non-null ``value`` of the table at or before each row,
+    or the largest; in spans as :func:`_running` where a table is long."""
+    pick = (lambda c, w: F.max(c).over(w)) if largest else (lambda c, w: F.last(c, ignorenulls=True).over(w))
+    rows = _spans(log, table, spread, parts)
+    if rows is None:
+        return log.withColumn(name, pick(value, Window.partitionBy(table).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_value", value)
+    ends = rows.groupBy(table, "_span").agg((F.max("_value") if largest else F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))).alias("_end"))
+    earlier = Window.partitionBy(table).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), pick(F.col("_end"), earlier).alias("_before"))
+    within = pick(F.col("_value"), Window.partitionBy(table, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = F.greatest(within, F.col("_before")) if largest else F.coalesce(within, F.col("_before"))
+    return _with_offsets(rows, ends, table).withColumn(name, found).drop("_value", "_before", "_span")
 
 
 def sequence_position(seq: Column) -> Column:
@@ -106,32 +148,35 @@ def sequence_position(seq: Column) -> Column:
 
 def segments(log: DataFrame, table: str, order: Sequence[str], version: str, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Numbers runs of one schema version in a table's log."""
-    rows = _spans(log, spread, parts)
-    at = F.struct(*order)
-    ends = rows.groupBy(table, "_span").agg(F.max_by(F.struct(F.col(version).alias("v")), at).alias("_end"))
-    before = F.lag("_end").over(Window.partitionBy(table).orderBy("_span"))
-    ends = ends.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), before.alias("_prior"))
-    rows = rows.join(ends, F.col(table).eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_s"))).drop("_t", "_s")
-    w = Window.partitionBy(table, "_span").orderBy(*order)
-    prior = F.coalesce(F.lag(F.struct(F.col(version).alias("v"))).over(w), F.col("_prior"))
-    rows = rows.withColumn("_changed", F.when(prior.isNotNull() & prior["v"].eqNullSafe(F.col(version)), 0).otherwise(1))
-    return _running(rows, table, order, F.col("_changed"), "segment").drop("_changed", "_prior", "_span")
+    rows = _spans(log, table, spread, parts)
+    now = F.struct(F.col(version).alias("v"))
+    if rows is None:
+        prior = F.lag(now).over(Window.partitionBy(table).orderBy(*order))
+        rows = log.withColumn("_prior", prior)
+    else:
+        ends = rows.groupBy(table, "_span").agg(F.max_by(now, F.struct(*order)).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(table).orderBy("_span"))
+        ends = ends.select(F.col(table).alias("_t"), F.col("_span").alias("_s"), before.alias("_before"))
+        prior = F.coalesce(F.lag(now).over(Window.partitionBy(table, "_span").orderBy(*order)), F.col("_before"))
+        rows = _with_offsets(rows, ends, table).withColumn("_prior", prior).drop("_before", "_span")
+    changed = F.when(F.col("_prior").isNotNull() & F.col("_prior.v").eqNullSafe(F.col(version)), 0).otherwise(1)
+    return _running(rows, table, order, changed, "segment", spread, parts).drop("_prior")
 
 
 def barriers(log: DataFrame, table: str, order: Sequence[str], spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Numbers accumulation runs: a relation or truncate ends the one before."""
-    return _running(_spans(log, spread, parts), table, order, F.col("op").isin("R", "T").cast("int"), "run").drop("_span")
+    return _running(log, table, order, F.col("op").isin("R", "T").cast("int"), "run", spread, parts)
 
 
 def mutation_batches(log: DataFrame, table: str, order: Sequence[str], size: int = 16, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Atomic batches of up to ``size`` mutations of a table, in order."""
-    placed = _running(_spans(log, spread, parts), table, order, F.lit(1), "_place").drop("_span")
+    placed = _running(log, table, order, F.lit(1), "_place", spread, parts)
     return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
 def byte_batches(log: DataFrame, table: str, order: Sequence[str], size: str, budget: int, spread: Column | None = None, parts: int = 64) -> DataFrame:
     """Batches by decoded size: the running total before a row, in budgets."""
-    placed = _running(_spans(log, spread, parts), table, order, F.col(size), "_total").drop("_span")
+    placed = _running(log, table, order, F.col(size), "_total", spread, parts)
     return placed.withColumn("batch", F.floor((F.col("_total") - F.col(size)) / budget).cast("long")).drop("_total")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.apply import last_known
+
 
 @dataclass(frozen=True)
 class Column:
@@ -146,12 +148,11 @@ def flagged_names(columns):
 def as_of(events: DataFrame, versions: DataFrame, at: str = "commit_lsn", exact: bool = False) -> DataFrame:
     """Each event's newest schema version at or before it, by one sorted pass
     over both: a version row precedes the events it governs, and the last one
-    seen is carried on. No range join. With ``exact``, events without a version
+    seen is carried on; a long table's log is sorted in stretches. No range join. With ``exact``, events without a version
     at their own position are left out, as right after a schema change."""
     marks = versions.select("table_id", F.col("snapshot_id").alias("_at"), F.col("snapshot_id").alias("_version"), F.lit(0).alias("_event"), *[F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c not in ("table_id",)])
     rows = events.select("table_id", F.col(at).alias("_at"), F.lit(None).cast(dict(versions.dtypes)["snapshot_id"]).alias("_version"), F.lit(1).alias("_event"), *[c for c in events.columns if c != "table_id"])
-    w = Window.partitionBy("table_id").orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = marks.unionByName(rows).withColumn("snapshot_id", F.last("_version", ignorenulls=True).over(w)).where("_event = 1")
+    out = last_known(marks.unionByName(rows), "table_id", ["_at", "_event"], F.col("_version"), "snapshot_id", F.col("_at")).where("_event = 1")
     return (out.where(F.col("snapshot_id") == F.col("_at")) if exact else out).select(*events.columns, "snapshot_id")
 
 

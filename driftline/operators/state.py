@@ -5,10 +5,12 @@ Histories are append-only tables; what is current is the last row of a key.
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATES = ("init", "data_sync", "finished_copy", "sync_wait", "catchup", "sync_done", "ready", "errored")
@@ -120,12 +122,137 @@ class MemoryStore(StateStore, SchemaStore):
                 del versions[v]
         return gone
 
+    def set_metadata(self, table_id: int, note: dict) -> None:
+        self.metadata[table_id] = note
+
     def tables_to_purge(self, published: Sequence[int]) -> tuple[set[int], set[int]]:
         """Tables new to the publication, and those no longer in it."""
         have, want = set(self._history), set(published)
         return want - have, have - want
 
 
+class ParquetStore(MemoryStore):
+    """The stores as an append-only table of changes in a shared folder.
+
+    Every change is written as it is made, and a new store on the same folder
+    takes them in order, so a restart finds states with their history,
+    progress, schemas and destination metadata as they were. One writer at a
+    time. ``tables`` shows what is current as the five state tables."""
+
+    SCHEMA = "id long, kind string, table_id long, payload string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__()
+        self.spark, self.root, self._next = spark, root.rstrip("/"), 0
+        for r in self.changes().orderBy("id").collect():  # as many as changes of state
+            self._take(r.kind, r.table_id, json.loads(r.payload))
+            self._next = r.id + 1
+
+    def changes(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/changes")
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def _take(self, kind: str, table_id: int, value):
+        if kind == "store":
+            return super().store(schema_of(value))
+        if kind == "prune":
+            return super().prune({table_id: value[0]})
+        return getattr(super(), kind)(table_id, *value)
+
+    def _note(self, kind: str, table_id: int, value: list):
+        out = self._take(kind, table_id, value)  # raises before anything is written
+        row = [(self._next, kind, table_id, json.dumps(value))]
+        self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/changes")
+        self._next += 1
+        return out
+
+    def set_state(self, table_id, state):
+        return self._note("set_state", table_id, [state])
+
+    def rollback(self, table_id):
+        return self._note("rollback", table_id, [])
+
+    def reset(self, table_id):
+        return self._note("reset", table_id, [])
+
+    def delete_table(self, table_id):
+        return self._note("delete_table", table_id, [])
+
+    def advance(self, table_id, lsn):
+        if lsn <= self.progress(table_id):
+            return self.progress(table_id)
+        return self._note("advance", table_id, [lsn])
+
+    def set_metadata(self, table_id, note):
+        return self._note("set_metadata", table_id, [note])
+
+    def store(self, schema):
+        return self._note("store", schema.table_id, [schema.table_id, schema.schema, schema.name, schema.snapshot, [[c.name, c.type, c.ordinal, c.key_position, c.nullable, c.default, c.modifier] for c in schema.columns]])
+
+    def prune(self, retain):
+        return sum(self._note("prune", t, [bound]) for t, bound in sorted(retain.items()))
+
+    def tables(self) -> dict[str, DataFrame]:
+        make = self.spark.createDataFrame
+        schemas = [(t, v, x.schema, x.name) for t, by in self._schemas.items() for v, x in by.items()]
+        columns = [(t, v, c.ordinal, c.name, c.type, c.nullable, c.key_position, c.default) for t, by in self._schemas.items() for v, x in by.items() for c in x.columns]
+        return {
+            "replication_state": make([(t, i, x) for t, past in self._history.items() for i, x in enumerate(past)], "table_id long, id int, state string"),
+            "replication_progress": make(list(self._progress.items()), "table_id long, flush_lsn long"),
+            "table_schemas": make(schemas, "table_id long, snapshot_id long, schema_name string, table_name string"),
+            "table_columns": make(columns, "table_id long, snapshot_id long, ordinal int, name string, type string, nullable boolean, key_position int, default_expression string"),
+            "destination_metadata": make([(t, m["status"], m["snapshot"]) for t, m in self.metadata.items()], "table_id long, status string, snapshot_id long"),
+        }
+
+
+def schema_of(value: list):
+    from driftline.operators.schema import Column as SchemaColumn
+    from driftline.operators.schema import TableSchema
+
+    table_id, schema, name, snapshot, columns = value
+    return TableSchema(table_id, schema, name, tuple(SchemaColumn(*c) for c in columns), snapshot)
+
+
+class Slots:
+    """Replication slots of file sources: a position from which a stream goes
+    on, kept in the store's metadata under negative ids."""
+
+    def __init__(self, store: MemoryStore):
+        self.store_ = store
+
+    def _known(self) -> dict[str, tuple[int, dict]]:
+        return {m["slot"]: (i, m) for i, m in self.store_.metadata.items() if "slot" in m}
+
+    def create(self, name: str, lsn: int) -> None:
+        if name in self._known():
+            raise ValueError(f"slot {name} exists")
+        number = min([0, *(i for i, _ in self._known().values())]) - 1
+        self.store_.set_metadata(number, {"slot": name, "lsn": lsn, "status": "reserved", "snapshot": lsn})
+
+    def get(self, name: str) -> int | None:
+        return self._known()[name][1]["lsn"] if name in self._known() else None
+
+    def confirm(self, name: str, lsn: int) -> int:
+        """Move a slot on; it never goes back."""
+        number, m = self._known()[name]
+        self.store_.set_metadata(number, m | {"lsn": max(lsn, m["lsn"])})
+        return max(lsn, m["lsn"])
+
+    def state(self, name: str, oldest: int) -> str:
+        """``missing``, ``lost`` if the log no longer goes back to it, else
+        ``reserved``."""
+        at = self.get(name)
+        return "missing" if at is None else "lost" if at < oldest else "reserved"
+
+    def delete(self, name: str) -> bool:
+        if name not in self._known():
+            return False
+        self.store_.delete_table(self._known()[name][0])
+        return True
+
+
 def current_states(history: DataFrame) -> DataFrame:
     return history.groupBy("table_id").agg(F.max_by("state", "id").alias("state"), F.max("id").alias("id"))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,20 @@ class LakeDestination(Destination):
 
     Snapshot rows carry the lowest sequence, so any change wins. A truncate
     leaves what comes after it. Updates that move a row delete its old key.
-    Partial images aren't for this sink: they raise, as it keeps no history to
-    complete them from.
+    A partial image raises, or with ``partial`` keeps the stored values of the
+    columns it lacks; one that moves its row raises in any case. A copy that
+    starts anew opens a table's next generation, which is noted in the folder,
+    so that a restart goes on with it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tables: Sequence[Table], buckets: int = 64, parallel: int = 4):
-        self.spark, self.root, self.buckets, self.parallel = spark, root.rstrip("/"), buckets, parallel
+    def __init__(self, spark: SparkSession, root: str, tables: Sequence[Table], buckets: int = 64, parallel: int = 4, partial: bool = False):
+        self.spark, self.root, self.buckets, self.parallel, self.partial = spark, root.rstrip("/"), buckets, parallel, partial
         self.tables = {t.table_id: t for t in tables}
-        self._generation: dict[int, int] = {}
+        try:
+            noted = spark.read.schema("table_id long, generation long").parquet(f"{self.root}/generations")
+            self._generation: dict[int, int] = {r.table_id: r.g for r in noted.groupBy("table_id").agg(F.max("generation").alias("g")).collect()}
+        except AnalysisException:
+            self._generation = {}
 
     def _values(self, t: Table) -> list[str]:
         return [c for c in self._row(t).columns if c not in t.keys]
@@ -64,6 +71,8 @@ class LakeDestination(Destination):
         """What was written before is no longer read; a copy starts anew."""
         if self.store(table_id).head() is not None:
             self._generation[table_id] = self._generation.get(table_id, 0) + 1
+            note = self.spark.createDataFrame([(table_id, self._generation[table_id])], "table_id long, generation long")
+            note.coalesce(1).write.mode("append").parquet(f"{self.root}/generations")
 
     def write_table_rows(self, table_id: int, rows: DataFrame) -> None:
         store = self.store(table_id)
@@ -82,19 +91,29 @@ class LakeDestination(Destination):
         if live is not None and live.batch_id is not None and live.batch_id >= batch_id:
             return
         keys, values = list(t.keys), self._values(t)
-        rows = strict_json_images(events.where(F.col("op").isin(*log.ROW_OPS)), self._row(t).columns, keys)
-        images = rows.select("op", sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq"), F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
-        flat = images.select("op", "_seq", *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(f"_old_{k}") for k in keys], *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys], *[F.col(f"n.{v}").alias(v) for v in values])
-        legs = log.split_key_changes(flat, [f"_old_{k}" for k in keys], keys, values, ["_seq"]).withColumnsRenamed({"sub": "_sub", "deleted": "_deleted"})
+        rows = strict_json_images(events.where(F.col("op").isin(*log.ROW_OPS)), keys if self.partial else self._row(t).columns, keys)
+        named = F.coalesce(F.json_object_keys("new"), F.array().cast("array<string>"))
+        rows = rows.withColumn("absent", F.when(F.col("op") != "D", F.array_except(F.array(*map(F.lit, values)).cast("array<string>"), named)))
+        images = rows.select("op", sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq"), "absent", F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
+        flat = images.select("op", "_seq", F.col("absent").alias("_absent"), *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(f"_old_{k}") for k in keys], *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys], *[F.col(f"n.{v}").alias(v) for v in values])
+        legs = log.split_key_changes(flat, [f"_old_{k}" for k in keys], keys, [*values, "_absent"], ["_seq"]).withColumnsRenamed({"sub": "_sub", "deleted": "_deleted"})
+        lost = (F.size("_absent") > 0) & (F.col("_sub") == 1)
+        legs = legs.where(F.when(lost, F.raise_error(F.lit("partial image: it moves its row and lacks values"))).otherwise(F.lit(True)))
         legs = legs.persist()
         try:
             cut = events.where("op = 'T'").agg(F.max(sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")))).first()[0]
             touched = list(range(self.buckets)) if cut else store.touched(legs)
             every = store.read(touched)
-            every = every.select(*[F.col(c) for c in every.columns]).unionByName(legs.select(*every.columns))
+            every = every.unionByName(legs, allowMissingColumns=True)
             if cut:
                 every = every.where(F.col("_seq") > cut)
-            state = apply.last_writer_wins(every.withColumnRenamed("_deleted", "deleted"), keys, ["_seq", "_sub"], values, tombstones=True).withColumnRenamed("deleted", "_deleted")
+            every = every.withColumnRenamed("_deleted", "deleted")
+            if self.partial:
+                full = F.col("deleted") | (F.coalesce(F.size("_absent"), F.lit(0)) <= 0)
+                state = apply.fold(every, keys, ["_seq", "_sub"], values, {v: ~F.array_contains("_absent", v) for v in values}, full, tombstones=True)
+            else:
+                state = apply.last_writer_wins(every, keys, ["_seq", "_sub"], values, tombstones=True)
+            state = state.withColumnRenamed("deleted", "_deleted")
             store.publish(state.select(*store.read([]).columns), touched, batch_id, cut)
         finally:
             legs.unpersist()
@@ -148,7 +167,8 @@ class Pipeline:
             done = ours.groupBy("table_id").agg(F.max("commit_lsn").alias("lsn")).collect()
             for r in done:
                 self.store.advance(r.table_id, int(r.lsn))
-                self.store.set_state(r.table_id, "ready")
+                if self.store.state(r.table_id) != "ready":
+                    self.store.set_state(r.table_id, "ready")
         finally:
             ours.unpersist()
 

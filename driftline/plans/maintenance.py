@@ -93,3 +93,52 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int, total_b
     n = max(1, -(-total_bytes // target_bytes))
     rows = spark.read.parquet(path)
     (rows.coalesce(n) if rows.rdd.getNumPartitions() > n else rows.repartition(n)).write.mode("overwrite").parquet(out)
+
+
+def pause_until(requested: Column, now: Column, most: int = LONGEST_PAUSE_SECONDS) -> Column:
+    """End of a pause that an external maintenance asks for: at most so many
+    seconds from now, and none that has passed."""
+    return F.greatest(now, F.least(requested, now + most))
+
+
+#: Steps of a run, in order.
+RUN_ORDER = ("replay_cleanup", "flush", "merge", "rewrite", "expire", "cleanup")
+
+
+def plan_run(metrics: DataFrame, pending: DataFrame, markers: DataFrame, target_bytes: int, most: int = 100) -> DataFrame:
+    """``step, operation, table_id`` of one maintenance run, in order: clean up
+    replay helpers where there are stale ones, flush what has gathered, merge
+    and rewrite eligible tables (at most so many of each), and expire versions
+    and delete files of every table."""
+    tables = metrics.select("table_id")
+    eligible = {
+        "replay_cleanup": markers.select("table_id").distinct(),
+        "flush": pending.groupBy("table_id").agg(F.sum("bytes").alias("bytes")).where(should_flush(F.col("bytes"))).select("table_id"),
+        "merge": select_tables(metrics, should_merge(target_bytes), most).select("table_id"),
+        "rewrite": select_tables(metrics, should_rewrite(), most).select("table_id"),
+        "expire": tables,
+        "cleanup": tables,
+    }
+    out = None
+    for i, name in enumerate(RUN_ORDER):
+        step = eligible[name].select(F.lit(i).alias("step"), F.lit(name).alias("operation"), "table_id")
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
+def run_once(plan: DataFrame, work: dict) -> list[tuple[str, int]]:
+    """Run a plan's steps in order, each through ``work[operation](table_id)``;
+    gives what was done. A plan has a few rows for each table."""
+    rows = plan.orderBy("step", "table_id").collect()
+    for r in rows:
+        work[r.operation](r.table_id)
+    return [(r.operation, r.table_id) for r in rows]
+
+
+def flush_deltas(base: DataFrame, deltas: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """A table with its small delta rows folded in: what an inline flush
+    writes. Both have ``deleted`` and the order columns."""
+    from driftline.operators.apply import last_writer_wins
+
+    columns = [*keys, *order, "deleted", *values]
+    return last_writer_wins(base.select(*columns).unionByName(deltas.select(*columns)), keys, order, values)

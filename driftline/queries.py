@@ -34,8 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_log(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
+    """The events as a log; ``complete`` fills partial images from old ones."""
     out = changelog.from_events(table(spark, sf_dir, "events"))
+    out = changelog.complete(out) if complete else out
     return out.withColumn("seq", lsn.sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")))
 
 
@@ -50,8 +52,8 @@ def rows(spark: SparkSession, ddl: str, data: list[tuple]) -> DataFrame:
 
 LOG = """
 log as (select *, concat(lpad(lower(hex(commit_lsn)), 16, '0'), '/', lpad(lower(hex(tx_ordinal)), 16, '0')) as seq from (
-  select 1 as table_id, cast(event_id % 500 as bigint) as old_k,
-    cast(event_id % 500 + case when event_type = 'click' and event_id % 10 = 0 then 1000 else 0 end as bigint) as new_k,
+  select 1 as table_id, cast(user_id * 8 + event_id % 8 as bigint) as old_k,
+    cast(user_id * 8 + event_id % 8 + case when event_type = 'click' and event_id % 10 = 0 then 8 else 0 end as bigint) as new_k,
     (cast(floor(event_id / 4.0) as bigint) + 1) * 256 as commit_lsn, cast(event_id % 4 + 1 as bigint) as tx_ordinal,
     case when event_type = 'error' then 'D' when event_type = 'signup' then 'I' else 'U' end as op,
     event_type = 'view' as is_partial, event_type, case when event_type = 'view' then null else value end as value, event_id, user_id, props
@@ -61,19 +63,23 @@ legs as (
   select new_k as k, seq, case when op = 'U' and new_k <> old_k then 1 when new_k <> old_k then 1 else 0 end as sub, op = 'D' as deleted, event_type, value, is_partial from log
   union all select old_k, seq, 0, true, null, null, false from log where new_k <> old_k)"""
 
+#: The same with full images: what a view doesn't send is in its old image.
+FULL = LOG.replace("event_type = 'view' as is_partial", "false as is_partial").replace("case when event_type = 'view' then null else value end as value", "value")
+FULL_LEGS = LEGS.replace(LOG, FULL)
+
 
 # Applying
 
-@query(f"with {LEGS} select k, seq, sub, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs where not is_partial) t where n = 1 and not deleted")
+@query(f"with {FULL_LEGS} select k, seq, sub, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs) t where n = 1 and not deleted")
 def lww_current_state(spark, sf_dir):
-    """Full images alone: partial ones are for a sink that can fold them."""
-    legs = legs_of(change_log(spark, sf_dir).where("not is_partial"))
+    """Full images: those that came partial are completed from the old ones."""
+    legs = legs_of(change_log(spark, sf_dir, True))
     return apply.last_writer_wins(legs, ["k"], ["seq", "sub"], ["event_type", "value"])
 
 
-@query(f"with {LEGS} select k, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs where not is_partial) t where n = 1 and not deleted")
+@query(f"with {FULL_LEGS} select k, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs) t where n = 1 and not deleted")
 def rmt_current_view(spark, sf_dir):
-    changes = change_log(spark, sf_dir).where("not is_partial")
+    changes = change_log(spark, sf_dir, True)
     legs = log.split_key_changes(changes, ["old_k"], ["new_k"], ["event_type", "value"], ["commit_lsn", "tx_ordinal"], ["k"])
     stored = sinks.versioned_rows(legs, ["k"], ["event_type", "value"], "commit_lsn", "tx_ordinal")
     return sinks.current_view(stored, ["k"], ["event_type", "value"])
@@ -105,13 +111,13 @@ def key_change_split(spark, sf_dir):
     return legs_of(change_log(spark, sf_dir))
 
 
-@query(f"""with {LEGS}, cuts as (select max(seq) as cut from log where event_id % 97 = 0)
-select k, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs where not is_partial and seq > (select cut from cuts)) t where n = 1 and not deleted""")
+@query(f"""with {FULL_LEGS}, cuts as (select max(seq) as cut from log where event_id % 97 = 0)
+select k, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs where seq > (select cut from cuts)) t where n = 1 and not deleted""")
 def truncate_barrier(spark, sf_dir):
     """Some events stand for truncates: what came before them is gone."""
-    changes = change_log(spark, sf_dir)
+    changes = change_log(spark, sf_dir, True)
     truncates = changes.where("event_id % 97 = 0").select("table_id", "seq")
-    left = apply.after_truncates(legs_of(changes.where("not is_partial")).withColumn("table_id", F.lit(1).cast("long")), truncates)
+    left = apply.after_truncates(legs_of(changes).withColumn("table_id", F.lit(1).cast("long")), truncates)
     return apply.last_writer_wins(left, ["k"], ["seq", "sub"], ["event_type", "value"]).select("k", "event_type", "value")
 
 
@@ -162,12 +168,12 @@ def accumulation_runs(spark, sf_dir):
     return apply.barriers(marked, "user_id", ["seq"], spread=apply.sequence_position(F.col("seq"))).select("event_id", F.col("run").cast("long").alias("run"))
 
 
-@query(f"""with {LEGS}, base as (select cast(o_orderkey as bigint) as k, '0000000000000000/0000000000000000' as seq, 0 as sub, false as deleted, o_orderstatus as event_type, o_totalprice as value from orders where o_orderkey < 2000),
-every as (select * from base union all select k, seq, sub, deleted, event_type, value from legs where not is_partial)
+@query(f"""with {FULL_LEGS}, base as (select cast(o_orderkey as bigint) as k, '0000000000000000/0000000000000000' as seq, 0 as sub, false as deleted, o_orderstatus as event_type, o_totalprice as value from orders),
+every as (select * from base union all select k, seq, sub, deleted, event_type, value from legs)
 select k, event_type, value from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from every) t where n = 1 and not deleted""")
 def snapshot_plus_changes(spark, sf_dir):
-    snapshot = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
-    every = apply.with_snapshot(snapshot, legs_of(change_log(spark, sf_dir).where("not is_partial")))
+    snapshot = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
+    every = apply.with_snapshot(snapshot, legs_of(change_log(spark, sf_dir, True)))
     return apply.last_writer_wins(every, ["k"], ["seq", "sub"], ["event_type", "value"]).select("k", "event_type", "value")
 
 
@@ -178,13 +184,13 @@ def delete_by_identity(spark, sf_dir):
     return apply.delete_by_identity(orders, orders.where("o_orderkey % 7 = 0"), ["o_orderkey", "o_orderstatus"])
 
 
-@query(f"""with {LEGS}, base as (select cast(o_orderkey as bigint) as k, o_orderstatus as event_type, o_totalprice as value from orders where o_orderkey < 2000),
-state as (select * from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs where not is_partial) t where n = 1)
+@query(f"""with {FULL_LEGS}, base as (select cast(o_orderkey as bigint) as k, o_orderstatus as event_type, o_totalprice as value from orders),
+state as (select * from (select *, row_number() over (partition by k order by seq desc, sub desc) as n from legs) t where n = 1)
 select * from base where k not in (select k from state) union all select k, event_type, value from state where not deleted""")
 def merge_into_base(spark, sf_dir):
     """Merge-on-write without MERGE: anti-join and union."""
-    base = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
-    changed = apply.last_writer_wins(legs_of(change_log(spark, sf_dir).where("not is_partial")), ["k"], ["seq", "sub"], ["event_type", "value"], tombstones=True)
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
+    changed = apply.last_writer_wins(legs_of(change_log(spark, sf_dir, True)), ["k"], ["seq", "sub"], ["event_type", "value"], tombstones=True)
     return apply.merge_into(base, changed, ["k"])
 
 
@@ -197,32 +203,78 @@ def streamed_current_state(spark, sf_dir):
     return run_available(spark, sf_dir)
 
 
+@query(f"""with {LEGS},
+runs as (select *, sum(case when is_partial then 0 else 1 end) over (partition by k order by seq, sub rows unbounded preceding) as gen from legs),
+last as (select k, max(gen) as gen from runs group by k),
+state as (select r.*, row_number() over (partition by r.k order by seq, sub) as first, row_number() over (partition by r.k order by seq desc, sub desc) as newest from runs r join last using (k, gen) where gen > 0)
+select o.k, n.event_type, o.value from state o join state n on o.k = n.k and n.newest = 1 where o.first = 1 and not o.deleted""")
+def streamed_partial_fold(spark, sf_dir):
+    """A stream whose images lack values, folded into the stored rows."""
+    from driftline.streaming.apply_stream import run_available
+
+    return run_available(spark, sf_dir, partial=True)
+
+
+@query(f"""with {LEGS}, base as (select cast(o_orderkey as bigint) as k, '' as seq, 0 as sub, false as deleted, o_orderstatus as event_type, o_totalprice as value, false as is_partial from orders),
+every as (select * from base union all select k, seq, sub, deleted, event_type, value, is_partial from legs),
+runs as (select *, sum(case when is_partial then 0 else 1 end) over (partition by k order by seq, sub rows unbounded preceding) as gen from every),
+last as (select k, max(gen) as gen from runs group by k),
+state as (select r.*, row_number() over (partition by r.k order by seq, sub) as first, row_number() over (partition by r.k order by seq desc, sub desc) as newest from runs r join last using (k, gen) where gen > 0)
+select o.k, n.event_type, o.value from state o join state n on o.k = n.k and n.newest = 1 where o.first = 1 and not o.deleted""")
+def restart_recovery(spark, sf_dir):
+    """A snapshot, half of the log, a restart with nothing but the shared
+    folder, and the other half; partial images are folded."""
+    from driftline import pipeline
+    from driftline.operators.state import ParquetStore
+    from driftline.streaming.apply_stream import shared_root
+
+    root = shared_root(spark, "restart")
+    snapshot = lambda: table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
+    tables = [pipeline.Table(1, "k long, event_type string, value double", ("k",), snapshot)]
+    changes = changelog.from_events(table(spark, sf_dir, "events"))
+    none = {"ignoreNullFields": "false"}
+    whole, part, old = F.struct(F.col("new_k").alias("k"), "event_type", "value"), F.struct(F.col("new_k").alias("k"), "event_type"), F.struct(F.col("old_k").alias("k"))
+    new = F.when(F.col("op") != "D", F.when(F.col("is_partial"), F.to_json(part, none)).otherwise(F.to_json(whole, none)))
+    moved = (F.col("op") == "D") | (F.col("old_k") != F.col("new_k"))
+    events = changes.select("table_id", "op", F.col("commit_lsn").cast(lsn.LSN).alias("commit_lsn"), "tx_ordinal", new.alias("new"), F.when(moved, F.to_json(old)).alias("old"), "event_id")
+    middle = events.agg(F.expr("max(event_id) div 2")).first()[0] or 0
+    for half in (events.where(F.col("event_id") < middle), events.where(F.col("event_id") >= middle)):
+        half.drop("event_id").write.mode("append").parquet(f"{root}/log")
+        lake = pipeline.LakeDestination(spark, f"{root}/lake", tables, 16, partial=True)
+        run = pipeline.Pipeline(spark, tables, lake, ParquetStore(spark, f"{root}/state"), f"{root}/checkpoint")
+        stream = run.start(spark.readStream.schema(pipeline.LOG_SCHEMA).parquet(f"{root}/log"), availableNow=True)
+        stream.awaitTermination()
+        if stream.exception():
+            raise stream.exception()
+    return lake.current(1)
+
+
 # Sink forms
 
-@query(f"with {LOG} select new_k as k, case when op = 'D' then '' else event_type end as event_type, case when op = 'D' then null else value end as value, case op when 'I' then 'INSERT' when 'U' then 'UPDATE' else 'DELETE' end as cdc_operation, commit_lsn as cdc_lsn from log where not is_partial")
+@query(f"with {FULL} select new_k as k, case when op = 'D' then '' else event_type end as event_type, case when op = 'D' then null else value end as value, case op when 'I' then 'INSERT' when 'U' then 'UPDATE' else 'DELETE' end as cdc_operation, commit_lsn as cdc_lsn  from log")
 def merge_tree_changelog(spark, sf_dir):
-    changes = change_log(spark, sf_dir).where("not is_partial").withColumnRenamed("new_k", "k")
+    changes = change_log(spark, sf_dir, True).withColumnRenamed("new_k", "k")
     return sinks.audit_log(changes, [("k", "bigint", False), ("event_type", "string", False), ("value", "double", True)], ["k"])
 
 
-@query(f"with {LOG} select new_k as k, event_type as cdc_operation, value, case op when 'I' then 'INSERT' when 'U' then 'UPDATE' else 'DELETE' end as cdc_operation_1, seq as sequence_number from log where not is_partial")
+@query(f"with {FULL} select new_k as k, event_type as cdc_operation, value, case op when 'I' then 'INSERT' when 'U' then 'UPDATE' else 'DELETE' end as cdc_operation_1, seq as sequence_number  from log")
 def iceberg_changelog(spark, sf_dir):
     """A user column has the name of an added one, which steps aside."""
-    changes = change_log(spark, sf_dir).where("not is_partial").withColumnRenamed("new_k", "k").withColumn("cdc_operation", F.col("event_type"))
+    changes = change_log(spark, sf_dir, True).withColumnRenamed("new_k", "k").withColumn("cdc_operation", F.col("event_type"))
     return sinks.changelog(changes, ["k", "cdc_operation", "value"])
 
 
-@query(f"with {LOG} select seq as offset_token, new_k as k, case when op = 'D' then null else event_type end as event_type, case op when 'I' then 'insert' when 'U' then 'update' else 'delete' end as op from log where not is_partial")
+@query(f"with {FULL} select seq as offset_token, new_k as k, case when op = 'D' then null else event_type end as event_type, case op when 'I' then 'insert' when 'U' then 'update' else 'delete' end as op  from log")
 def snowflake_json_rows(spark, sf_dir):
     """Fields read back from the JSON rows."""
-    changes = change_log(spark, sf_dir).where("not is_partial").withColumnRenamed("new_k", "k")
+    changes = change_log(spark, sf_dir, True).withColumnRenamed("new_k", "k")
     out = sinks.json_rows(changes, ["k", "event_type", "value"], ["k"])
     return out.select("offset_token", F.get_json_object("row", "$.k").cast("long").alias("k"), F.get_json_object("row", "$.event_type").alias("event_type"), F.get_json_object("row", "$._cdc_operation").alias("op"))
 
 
-@query(f"with {LEGS} select k, event_type, case when deleted then 'DELETE' else 'UPSERT' end as _change_type, concat(seq, '/', lpad(lower(hex(sub)), 16, '0')) as _change_sequence_number from legs where not is_partial")
+@query(f"with {FULL_LEGS} select k, event_type, case when deleted then 'DELETE' else 'UPSERT' end as _change_type, concat(seq, '/', lpad(lower(hex(sub)), 16, '0')) as _change_sequence_number from legs")
 def upsert_stream(spark, sf_dir):
-    return sinks.upsert_rows(legs_of(change_log(spark, sf_dir).where("not is_partial")), ["k", "event_type"])
+    return sinks.upsert_rows(legs_of(change_log(spark, sf_dir, True)), ["k", "event_type"])
 
 
 # Log metrics and decoding of events
@@ -453,12 +505,10 @@ def slot_lag(spark, sf_dir):
 @query(f"with {LOG}, g as (select commit_lsn as received, max(case when event_id % 16 = 0 then commit_lsn else 0 end) over (order by seq rows unbounded preceding) as flushed, event_id from log) select event_id, cast(greatest(received - flushed, 0) as decimal(21,0)) as flush_lag, cast(greatest(500000 - received, 0) as decimal(21,0)) as received_lag from g")
 def lag_gauges(spark, sf_dir):
     """Running high-water mark of what is flushed against what has come in."""
-    from pyspark.sql import Window
-
-    changes = change_log(spark, sf_dir)
-    flushed = F.max(F.when(F.col("event_id") % 16 == 0, F.col("commit_lsn")).otherwise(0)).over(Window.partitionBy("table_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast(lsn.LSN)
-    received = F.col("commit_lsn").cast(lsn.LSN)
-    gauges = state.lag_gauges(received, flushed, flushed, F.lit(500000).cast(lsn.LSN))
+    flushed = F.when(F.col("event_id") % 16 == 0, F.col("commit_lsn")).otherwise(0)
+    changes = apply.last_known(change_log(spark, sf_dir), "table_id", ["seq"], flushed, "flushed", apply.sequence_position(F.col("seq")), largest=True)
+    received, durable = F.col("commit_lsn").cast(lsn.LSN), F.col("flushed").cast(lsn.LSN)
+    gauges = state.lag_gauges(received, durable, durable, F.lit(500000).cast(lsn.LSN))
     return changes.select("event_id", gauges["flush_lag"].alias("flush_lag"), gauges["received_lag"].alias("received_lag"))
 
 
@@ -565,11 +615,12 @@ def decode_quoted_arrays(spark, sf_dir):
     return e.select("event_id", v[0].alias("v"), F.size(v).alias("n"))
 
 
-@query("select doc_id, text as v from documents where text is not null")
+@query("select doc_id, text as v from documents")
 def copy_unescape(spark, sf_dir):
     """Texts written as COPY fields and decoded again."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", decode.copy_unescape(decode.copy_escape(F.col("text"))).alias("v"))
+    d = table(spark, sf_dir, "documents")
+    wire = F.coalesce(decode.copy_escape(F.col("text")), F.lit("\\N"))
+    return copy_text.decode_copy(d.select(F.concat_ws("\t", F.col("doc_id").cast("string"), wire).alias("value")), [("doc_id", "int8"), ("v", "text")])
 
 
 @query("select event_id, user_id, event_type as kind, value from events")

@@ -23,13 +23,22 @@ def publication_tables(publication: DataFrame, inherits: DataFrame | None = None
     return rows.distinct()
 
 
-def roots(inherits: DataFrame, depth: int = 16) -> DataFrame:
-    """``table_id, root_id`` of every partition, following parents upward."""
-    now = inherits.select(F.col("child_id").alias("table_id"), F.col("parent_id").alias("root_id"))
-    up = inherits.select(F.col("child_id").alias("root_id"), F.col("parent_id").alias("_next"))
-    for _ in range(depth.bit_length()):
-        now = now.join(up, "root_id", "left").select("table_id", F.coalesce("_next", "root_id").alias("root_id"))
-    return now
+def roots(inherits: DataFrame) -> DataFrame:
+    """``table_id, root_id`` of every partition, however deep: each round maps
+    a table to its target's target, which doubles the way, until none moves. A
+    cycle raises."""
+    now = inherits.select(F.col("child_id").alias("table_id"), F.col("parent_id").alias("root_id")).persist()
+    for _ in range(64):
+        onward = now.select(F.col("table_id").alias("_from"), F.col("root_id").alias("_to"))
+        moved = now.join(onward, F.col("root_id") == F.col("_from"), "left").select("table_id", F.coalesce("_to", "root_id").alias("root_id"), F.col("_to").isNotNull().alias("_moved")).persist()
+        more = moved.where("_moved").limit(1).count()
+        now.unpersist()
+        now = moved
+        if not more:
+            return now.drop("_moved")
+        if now.where("table_id = root_id").limit(1).count():
+            break
+    raise ValueError("partitions inherit in a cycle")
 
 
 def leaves(inherits: DataFrame) -> DataFrame:
