@@ -74,3 +74,16 @@ def render_default(value: str, pg_type: str, typed: bool = True) -> str:
         return value
     quoted = "'" + value.replace("'", "''") + "'"
     return f"{pg_type.upper()} {quoted}" if typed and pg_type in ("date", "timestamp") else quoted
+
+
+def parse_defaults(columns):
+    """``literal`` beside rows of ``expression`` and ``type``, as
+    :func:`parse_default` gives it. Catalog rows, one for each column."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(batches):
+        for b in batches:
+            b["literal"] = [parse_default(e, t) for e, t in zip(b["expression"], b["type"], strict=True)]
+            yield b
+
+    return columns.mapInPandas(run, StructType([*columns.schema, StructField("literal", StringType())]))

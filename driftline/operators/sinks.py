@@ -30,13 +30,18 @@ def key_delete_row(columns: Sequence[tuple[str, str, bool]], keys: Sequence[str]
 DELETE_IMAGES = {"bigquery": ("full", "key"), "clickhouse": ("full", "key"), "iceberg": ("full",), "snowflake": ("full", "key")}
 
 
+def image_rejected(destination: str) -> Column:
+    """Whether a destination can't take an event: an insert or update whose
+    ``new_kind`` isn't full, or a delete whose ``old_kind`` it can't use."""
+    lacks_new = F.col("op").isin("I", "U") & ~F.col("new_kind").eqNullSafe("full")
+    return lacks_new | ((F.col("op") == "D") & ~F.coalesce(F.col("old_kind").isin(*DELETE_IMAGES[destination]), F.lit(False)))
+
+
 def strict_images(log: DataFrame, destination: str) -> DataFrame:
-    """The log as it is; running it raises on an insert or update whose
-    ``new_kind`` isn't full, and on a delete whose ``old_kind`` the destination
-    can't use."""
-    absent = (F.col("op").isin("I", "U") & ~F.col("new_kind").eqNullSafe("full")) | ((F.col("op") == "D") & ~F.coalesce(F.col("old_kind").isin(*DELETE_IMAGES[destination]), F.lit(False)))
+    """The log as it is; running it raises on an event that the destination
+    can't take."""
     message = F.concat(F.lit(f"{destination}: operation "), F.col("op"), F.lit(" with new image "), F.coalesce("new_kind", F.lit("none")), F.lit(" and old image "), F.coalesce("old_kind", F.lit("none")))
-    return log.where(F.when(absent, F.raise_error(message)).otherwise(F.lit(True)))
+    return log.where(F.when(image_rejected(destination), F.raise_error(message)).otherwise(F.lit(True)))
 
 
 def strict_json_images(log: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:

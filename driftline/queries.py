@@ -432,47 +432,8 @@ def schema_evolution(spark, sf_dir):
     return schema.as_version(schema.stored(table(spark, sf_dir, "orders"), old), new, {"int8": "bigint", "text": "string", "float8": "double"})
 
 
-_KEYS = [(10, [2, 1]), (11, None), (12, [1]), (20, None)]
-_INHERITS = [(10, 11), (10, 12), (11, 20)]
-
-
-@query("select * from (values (10, 1, 2), (10, 2, 1), (11, 1, 2), (11, 2, 1), (12, 1, 1), (20, 1, 2), (20, 2, 1)) t(table_id, key_position, attnum)")
-def effective_primary_key(spark, sf_dir):
-    keys = rows(spark, "table_id int, attnums array<int>", [k for k in _KEYS if k[1]])
-    return catalog.effective_primary_key(keys, rows(spark, "parent_id int, child_id int", _INHERITS))
-
-
-@query("with i(parent_id, child_id) as (values (10, 11), (10, 12), (11, 20)) select 10 as root_id, child_id as table_id from i where child_id not in (select parent_id from i)")
-def leaf_partitions(spark, sf_dir):
-    return catalog.leaves(rows(spark, "parent_id int, child_id int", _INHERITS))
-
-
-_AUDIT = [(1, [1], [1], 3, "d"), (2, [1, 2], [1], 3, "i"), (3, None, [1, 2, 3], 3, "f"), (4, None, None, 3, "n"), (5, [1, 2], [1, 2], 2, "f")]
-
-
-@query("select * from (values (1, 'primary_key', true), (2, 'alternative_key', false), (3, 'full', true), (4, 'missing', false), (5, 'primary_key', true)) t(table_id, identity, allowed)")
-def identity_audit(spark, sf_dir):
-    """Identity class of each table against what a sink can take."""
-    from driftline.operators.validate import identity_class
-
-    audit = rows(spark, "table_id int, key array<int>, identity array<int>, columns int, mode string", _AUDIT)
-    kind = identity_class(F.col("key"), F.col("identity"), F.col("columns"))
-    return audit.select("table_id", kind.alias("identity"), kind.isin("primary_key", "full").alias("allowed"))
-
-
-@query("select 1 as snapshot_id, 7 as table_id, c.* from (values ('id', 'int8', 1), ('name', 'text', 2)) c(name, type, ordinal)")
-def schema_messages(spark, sf_dir):
-    text = '{"table_id": 7, "columns": [{"name": "id", "type": "int8", "ordinal": 1}, {"name": "name", "type": "text", "ordinal": 2}]}'
-    return catalog.columns_of(rows(spark, "snapshot_id int, content string", [(1, text)])).select("snapshot_id", F.col("table_id").cast("int").alias("table_id"), "name", "type", "ordinal")
-
-
 # State
 
-@query("select * from (values (3, 'init'), (5, 'init'), (1, 'purge')) t(table_id, action)")
-def publication_diff(spark, sf_dir):
-    return state.publication_changes(rows(spark, "table_id int", [(2,), (3,), (5,)]), rows(spark, "table_id int", [(1,), (2,)]))
-
-
 _HISTORY = [(1, 1, "init"), (2, 1, "data_sync"), (3, 2, "init"), (4, 1, "errored"), (5, 3, "init"), (6, 3, "ready")]
 
 
@@ -528,32 +489,12 @@ def storage_metrics(spark, sf_dir):
     return maintenance.storage_metrics(files).withColumns({"merge": maintenance.should_merge(10_000_000), "rewrite": maintenance.should_rewrite()})
 
 
-@query("select cast(2 as bigint) as snapshots, cast(9 as bigint) as oldest_snapshot_seconds, cast(3 as bigint) as scheduled_files, cast(60 as bigint) as scheduled_bytes")
-def catalog_metrics(spark, sf_dir):
-    return maintenance.catalog_metrics(rows(spark, "created_ms long", [(1000,), (5000,)]), rows(spark, "file_bytes long", [(10,), (20,), (30,)]), 10_500)
-
-
 @query(f"with {LOG}, p as (select cast(user_id % 20 as varchar) as table_name, event_id // 5000 as replay_epoch, commit_lsn, tx_ordinal from log) select table_name, replay_epoch, commit_lsn, tx_ordinal, seen from (select *, row_number() over (partition by table_name order by replay_epoch desc, commit_lsn desc, tx_ordinal desc) as n, count(*) over (partition by table_name) as seen from p) t where n = 1")
 def progress_compaction(spark, sf_dir):
     progress = change_log(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("table_name"), F.expr("event_id div 5000").alias("replay_epoch"), "commit_lsn", "tx_ordinal")
     return maintenance.compact_progress(progress)
 
 
-_MARKERS = [("a", "copy", 1), ("a", "copy_complete", 1), ("b", "copy", 1), ("b", "copy_complete", 1), ("c", "copy", 1), ("c", "copy", 2)]
-_PHASES = [("a", True, True, 1), ("b", False, True, 1), ("c", False, False, 2)]
-
-
-@query("select * from (values ('a', 'copy', 1), ('a', 'copy_complete', 1), ('b', 'copy', 1), ('c', 'copy', 1)) t(table_name, kind, replay_epoch)")
-def marker_cleanup(spark, sf_dir):
-    return maintenance.stale_markers(rows(spark, "table_name string, kind string, replay_epoch int", _MARKERS), rows(spark, "table_name string, streaming boolean, copy_complete boolean, replay_epoch int", _PHASES))
-
-
-@query("select * from (values (1, 'active_run'), (2, 'cooldown'), (3, 'covered'), (4, 'merged'), (5, 'created')) t(id, outcome)")
-def maintenance_requests(spark, sf_dir):
-    r = rows(spark, "id int, active boolean, since int, have int, want int, pending boolean", [(1, True, 900, 0, 1, False), (2, False, 100, 0, 1, False), (3, False, 900, 3, 1, True), (4, False, 900, 2, 1, True), (5, False, 900, 0, 1, False)])
-    return r.select("id", maintenance.request_outcome(F.col("active"), F.col("since") < maintenance.COOLDOWN_SECONDS, F.col("pending") & maintenance.covers("have", "want"), F.col("pending")).alias("outcome"))
-
-
 # Decoding
 
 @query("select o_orderkey, o_orderkey % 2 = 0 as v from orders")
@@ -644,53 +585,16 @@ def lsn_text(spark, sf_dir):
     return change_log(spark, sf_dir).select("event_id", shown.alias("text"), lsn.parse_lsn(shown).cast("long").alias("back"))
 
 
-@query("select * from (values (1, '''abc''', 'text', 'abc'), (2, 'nextval(''s''::regclass)', 'int4', null), (3, '((42)::bigint)', 'int8', '42'), (4, 'true', 'bool', 'true'), (5, '''2020-01-02''::date', 'date', '2020-01-02'), (6, 'now()', 'timestamp', null), (7, '''{}''::jsonb', 'jsonb', '{}'), (8, '-1.50', 'numeric', '-1.50')) t(id, expression, type, literal)")
-def default_literals(spark, sf_dir):
-    from driftline.functions.defaults import parse_default
-
-    cases = [(1, "'abc'", "text"), (2, "nextval('s'::regclass)", "int4"), (3, "((42)::bigint)", "int8"), (4, "true", "bool"), (5, "'2020-01-02'::date", "date"), (6, "now()", "timestamp"), (7, "'{}'::jsonb", "jsonb"), (8, "-1.50", "numeric")]
-    return rows(spark, "id int, expression string, type string, literal string", [(i, e, t, parse_default(e, t)) for i, e, t in cases])
-
-
 # Validation and benchmarks
 
-@query("select * from (values (1, 'ok'), (2, 'no_primary_key'), (3, 'key_not_published'), (4, 'ok')) t(table_id, result)")
-def primary_key_audit(spark, sf_dir):
-    from driftline.operators.validate import primary_key_audit as audit
-
-    tables = rows(spark, "table_id int, key array<string>, published array<string>", [(1, ["id"], ["id", "a"]), (2, [], ["id"]), (3, ["id", "b"], ["id"]), (4, ["id"], None)])
-    return audit(tables)
-
-
-@query("select * from (values (9, 'not_published'), (3, 'generated_column')) t(table_id, problem)")
-def publication_audit(spark, sf_dir):
-    from driftline.operators.validate import publication_audit as audit
-
-    return audit(rows(spark, "table_id int", [(1,), (3,)]), rows(spark, "table_id int", [(1,), (9,)]), rows(spark, "table_id int, generated boolean", [(1, False), (3, True), (9, True)]))
-
-
-@query("select * from (values ('slots', false), ('senders', true), ('wal_retention', false)) t(setting, enough)")
-def headroom_audit(spark, sf_dir):
-    from driftline.operators.validate import headroom
-
-    return headroom(rows(spark, "setting string, allowed long, used long, wanted long", [("slots", 10, 9, 2), ("senders", 10, 3, 2), ("wal_retention", 100, 0, 1000)]))
-
-
 @query("select c_nationkey, count(*) as n, cast(sum(case when c_acctbal < 0 then 1 else 0 end) as bigint) as negative, coalesce(bool_and(c_name is not null), false) as all_named from customer group by c_nationkey")
 def rejects_by_group(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.coalesce(F.bool_and(F.col("c_name").isNotNull()), F.lit(False)).alias("all_named"))
 
 
-_SAMPLES = [("copy_rows_s", "base", 100.0), ("copy_rows_s", "base", 110.0), ("copy_rows_s", "base", 90.0), ("copy_rows_s", "new", 80.0), ("total_ms", "base", 1000.0), ("total_ms", "new", 1150.0), ("stream_ms", "base", 100.0), ("stream_ms", "new", 125.0)]
-
-
-@query("select * from (values ('copy_rows_s', 100e0, 80e0, true), ('total_ms', 1000e0, 1150e0, false), ('stream_ms', 100e0, 125e0, true)) t(metric, base, new, failed)")
-def regression_gate(spark, sf_dir):
-    from driftline.operators.validate import regression_gate as gate
-
-    return gate(rows(spark, "metric string, run string, value double", _SAMPLES))
-
-
 @query("select l_returnflag, l_linestatus, median(l_quantity) as median, min(l_quantity) as least, max(l_quantity) as most from lineitem group by 1, 2")
 def sample_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.percentile("l_quantity", F.lit(0.5)).alias("median"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+
+
+from driftline import control_queries  # noqa: E402, F401  registers its own

@@ -68,3 +68,9 @@ def union_ranges(rows: DataFrame, key: str, bounds: Sequence[tuple[int | None, i
         inside = (F.col(key) >= low if low is not None else F.lit(True)) & (F.col(key) < high if high is not None else F.lit(True))
         label = F.when(inside, i).otherwise(label)
     return rows.withColumn("partition", label)
+
+
+def bulk_fill(spark: SparkSession, rows: int, tables: int) -> DataFrame:
+    """Generated rows for load tests, dealt over so many tables; every task
+    makes its own."""
+    return spark.range(rows).select((F.col("id") % tables).alias("table_id"), "id", F.concat(F.lit("row "), F.col("id").cast("string")).alias("payload"))
