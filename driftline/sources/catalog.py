@@ -25,19 +25,22 @@ def publication_tables(publication: DataFrame, inherits: DataFrame | None = None
 
 def roots(inherits: DataFrame) -> DataFrame:
     """``table_id, root_id`` of every partition, however deep: each round maps
-    a table to its target's target, which doubles the way, until none moves. A
-    cycle raises."""
-    now = inherits.select(F.col("child_id").alias("table_id"), F.col("parent_id").alias("root_id")).persist()
-    for _ in range(64):
+    a table to its target's target, which doubles the way, until none moves.
+    Rounds are written to the shared folder, which cuts their lineage. A cycle
+    raises."""
+    from driftline.streaming.apply_stream import shared_root
+
+    spark, folder = inherits.sparkSession, shared_root(inherits.sparkSession, "roots")
+    now, rounds, moved = inherits.select(F.col("child_id").alias("table_id"), F.col("parent_id").alias("root_id")), None, 0
+    while rounds is None or moved < rounds:
+        now.write.parquet(f"{folder}/{moved}")
+        now = spark.read.schema(now.schema).parquet(f"{folder}/{moved}")
+        rounds = 2 + now.count().bit_length() if rounds is None else rounds
         onward = now.select(F.col("table_id").alias("_from"), F.col("root_id").alias("_to"))
-        moved = now.join(onward, F.col("root_id") == F.col("_from"), "left").select("table_id", F.coalesce("_to", "root_id").alias("root_id"), F.col("_to").isNotNull().alias("_moved")).persist()
-        more = moved.where("_moved").limit(1).count()
-        now.unpersist()
-        now = moved
-        if not more:
-            return now.drop("_moved")
-        if now.where("table_id = root_id").limit(1).count():
-            break
+        found = now.join(onward, F.col("root_id") == F.col("_from"), "left")
+        if not found.where("_to is not null").limit(1).count():
+            return now
+        now, moved = found.select("table_id", F.coalesce("_to", "root_id").alias("root_id")), moved + 1
     raise ValueError("partitions inherit in a cycle")
 
 

@@ -128,7 +128,8 @@ def test_resolve_unchanged(spark):
 
 
 @pytest.mark.parametrize("parts", [2, 7, 40])
-def test_spread_forms_equal_plain_ones(spark, parts):
+def test_spread_forms_equal_plain_ones(spark, parts, monkeypatch):
+    monkeypatch.setattr(apply, "SORT_ROWS", 1)
     """One table holds most of the log; some rows have no table."""
     r = random.Random(parts)
     rows = [(r.choice([1, 1, 1, 1, 2, None]), i, r.choice([0, 0, 1, None]), r.randrange(1, 9), r.choice("IIUDRT")) for i in range(200)]
