@@ -48,6 +48,8 @@ LEAST_GAIN = 0.02
 #: 64-bit words of a set's sketch. A token flips one bit of it, so two sets
 #: differ in as many tokens as their sketches in bits, at least.
 SKETCH = 2
+#: Postings of a token up to which all of them may meet.
+FEW = 64
 #: Size bands are wider than the threshold allows sizes to differ by this
 #: factor, so that linked sizes are never two bands apart.
 BAND_SLACK = 1.0001
@@ -338,14 +340,19 @@ class JaccardJoin:
             self.roots = connected_components(self.spark, self.edges, self.work)
         return self.roots
 
+    def _index(self) -> str:
+        """Whether a posting lies in its set's index prefix: it leaves room for
+        the overlap with a set as large."""
+        return f"level + n - pos >= {self._want('n', 'n')}"
+
     def _placed(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
-        """Postings of tokens that still lie in several components, with the
-        token's main component and number of postings."""
+        """Postings of tokens that still lie in several components, and in an
+        index prefix, with the token's main component and number of postings."""
         known = self.prefixes.select("cls", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         rows = postings.select(*_POSTING).join(known, "cls").withColumn("root", F.coalesce("root", "cls"))
-        groups = rows.groupBy("token", "root").agg(F.count("*").alias("m"), F.max("salt").alias("last"))
+        groups = rows.groupBy("token", "root").agg(F.count("*").alias("m"), F.max("salt").alias("last"), F.count_if(F.expr(self._index())).alias("index"))
         largest = F.max(F.struct("m", "root")).alias("largest")
-        mixed = groups.groupBy("token").agg(largest, F.sum("m").alias("all"), F.max("last").alias("last")).where("largest.m < `all`")
+        mixed = groups.groupBy("token").agg(largest, F.sum("m").alias("all"), F.max("last").alias("last"), F.sum("index").alias("index")).where("largest.m < `all` and index > 0")
         mixed = mixed.select("token", F.col("largest.root").alias("main"), "all", F.explode(F.sequence(F.least("last", F.lit(1)), "last")).alias("salt"))
         return self.work.write(rows.join(mixed, ["token", "salt"]), "mixed")
 
@@ -374,15 +381,16 @@ class JaccardJoin:
         token, so the smaller one's lies within its index prefix; those of
         a token's main component meet only those outside it. Keys: the size
         band of the larger set, and parts of both sides, so no task holds more
-        than two parts."""
-        index = f"level + n - pos >= {self._want('n', 'n')}"
+        than two parts. Tokens of FEW postings have one key each."""
+        few = F.col("all") <= FEW
         parts = F.expr(f"1 + `all` div {RUN_ROWS}")
         part = F.pmod(F.xxhash64("cls"), parts)
         every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-        inside = F.col("root") == F.col("main")
-        a = rows.where(index).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        inside = ~few & (F.col("root") == F.col("main"))
+        rows = rows.withColumn("band", F.when(few, F.lit(-1)).otherwise(F.col("band")))
+        a = rows.where(self._index()).withColumn("band", F.explode(F.when(few, F.array("band")).otherwise(F.array(F.col("band"), F.col("band") + 1))))
         a = a.select("token", "band", F.when(inside, 1).otherwise(0).alias("side"), part.alias("part_a"), every.alias("part_b"), *(F.col(c).alias(f"{c}_a") for c in _MEMBER))
-        b = rows.withColumn("side", F.explode(F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        b = rows.withColumn("side", F.explode(F.when(inside | few, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
         b = b.select("token", "band", "side", part.alias("part_b"), every.alias("part_a"), *(F.col(c).alias(f"{c}_b") for c in _MEMBER))
         near = a.join(b, ["token", "band", "side", "part_a", "part_b"])
         near = near.where(F.expr(f"(n_a < n_b or (n_a = n_b and cls_a < cls_b)) and root_a <> root_b and {self.num} * n_b <= {self.den} * n_a and {self._room()} and {self._alike('', '', '_a', '_b')}"))

@@ -115,6 +115,7 @@ def test_join_of_one_group_whose_members_differ(spark, frame, monkeypatch):
 
 def test_pairs_are_found_without_leaders(spark, frame, monkeypatch, corpus):
     """All links through the size bands and index prefixes alone."""
+    from driftline.llm import jaccard_join
     from driftline.llm.jaccard_join import JaccardJoin
 
     calls, kept = [], JaccardJoin.verify
@@ -124,7 +125,8 @@ def test_pairs_are_found_without_leaders(spark, frame, monkeypatch, corpus):
         return kept(self, pairs.limit(0) if len(calls) == 1 else pairs)
 
     monkeypatch.setattr(JaccardJoin, "verify", verify)
-    for num, den in ((6, 10), (85, 100)):
+    for num, den, few in ((6, 10, 64), (85, 100, 64), (6, 10, 1), (85, 100, 1)):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
         calls.clear()
         _, links = jaccard_links(corpus, 4, num, den)
         out = jaccard_components(spark, frame(corpus), 4, num, den).collect()
