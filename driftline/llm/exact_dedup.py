@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace, small_or_shuffled
+from .storage import Workspace, join_hot, small_or_shuffled, with_rows_bounded
 
 #: Quotient bits of one filter, and the fingerprints it is sized for.
 QUOTIENT_BITS = 16
@@ -150,7 +150,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     Texts are equal when their normalised bytes are. The row with the smallest
     id of a group stays; null ids never stay unless the whole group has none,
     and rows that repeat the smallest id stay together. Null texts equal empty
-    ones. An empty table gives an empty one; other columns are ignored.
+    ones, and texts are compared whole, however long. An empty table gives an
+    empty one; other columns are ignored, whatever their names.
     """
     work = Workspace(spark, "dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
@@ -159,6 +160,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     checked = texts.join(small_or_shuffled(twice.select("fp")), "fp", "left_semi")
     groups = checked.groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = work.write(groups.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
-    out = signed.join(small_or_shuffled(groups, 200_000), ["fp", "text_sha256"], "left")
+    if with_rows_bounded(spark, groups, 200_000):
+        out = signed.join(F.broadcast(groups), ["fp", "text_sha256"], "left")
+    else:
+        known = groups.groupBy("text_sha256").agg(F.max("group_size").alias("rows"))
+        out = join_hot(work, signed, groups.drop("fp"), "text_sha256", ["doc_id"], sizes=known)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -416,7 +416,7 @@ class JaccardJoin:
         least = linked.groupBy("root").agg(F.min("least").alias("reached"))
         reached = join_hot(self.work, linked, least, "root", ["cls"]).select("cls", "reached")
         named = self.classes.select("fp", "cls", "least").join(reached, "cls", "left").select("fp", F.coalesce("reached", "least").alias("first"))
-        out = join_hot(self.work, self.signed.where("fp is not null"), named, "fp", ["doc_id"])
+        out = join_hot(self.work, self.signed.where("fp is not null"), named, "fp", ["doc_id", "sha"], sizes=self.classes.select("fp", "rows"))
         out = out.unionByName(self.signed.where("fp is null").withColumn("first", F.col("me")))
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("me") == F.col("first")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

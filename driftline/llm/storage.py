@@ -130,21 +130,24 @@ def beside_rows(docs: DataFrame, id_col: str, whole_rows: bool, columns: list, r
 HOT_ROWS = 100_000
 
 
-def join_hot(work: Workspace, left: DataFrame, right: DataFrame, key: str, spread: list[str], most: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def join_hot(work: Workspace, left: DataFrame, right: DataFrame, key: str, spread: list[str], most: int = HOT_ROWS, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``left`` left-joined to ``right``, which has one row for each ``key``.
 
     Keys of more than ``most`` rows are split into parts by a hash of the
     ``spread`` columns, and their one row of ``right`` is repeated for each
     part; there are at most rows/most such keys. ``counted`` has the keys of
-    ``left`` where that would be costly to count. Null keys join nothing."""
+    ``left`` where that would be costly to count, ``sizes`` their numbers of
+    rows (``rows``) where they are known. Null keys join nothing and are dealt
+    out by ``spread`` too."""
     from pyspark.sql import functions as F
 
-    sizes = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
-    hot = work.write(sizes.select(key, F.expr(f"1 + _rows div {most}").alias("_parts")), "hot")
+    if sizes is None:
+        sizes = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    hot = work.write(sizes.where(F.col("rows") > most).select(key, F.expr(f"1 + rows div {most}").alias("_parts")), "hot")
     if not hot.count():
         return left.join(right, key, "left")
     hot = small_or_shuffled(hot)
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    cut = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
+    cut = left.join(hot, key, "left").withColumn("_part", F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(F.pmod(F.xxhash64(*spread), parts))).drop("_parts")
     whole = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     return cut.join(whole, [key, "_part"], "left").drop("_part")

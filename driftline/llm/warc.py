@@ -169,13 +169,13 @@ def plan_records(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    twice = rows.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = rows.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("n", "rows")
     work = Workspace(pages.sparkSession, "warc")
     twice = work.write(twice, "repeated")
     if with_rows_bounded(pages.sparkSession, twice, 100_000):
-        out = rows.join(F.broadcast(twice), "digest", "left")
+        out = rows.join(F.broadcast(twice.drop("rows")), "digest", "left")
     else:
-        out = join_hot(work, rows, twice, "digest", ["page_id"], 10_000)
+        out = join_hot(work, rows, twice.drop("rows"), "digest", ["page_id"], 10_000, sizes=twice)
     return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

@@ -164,3 +164,22 @@ def test_vectors_of_several_lengths(spark, frame):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0]), (6, None), (7, []), (8, [0.0, 1.0])]
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_duplicates(spark, frame(rows, "vec_id long, embedding array<double>")).collect()}
     assert out == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True)}
+
+
+def test_copies_without_a_broadcast(spark, frame, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(200)] + [(None, "text 1"), (None, None), (500, ""), (501, "own")]
+    want = sorted(map(str, exact_dedup.exact_duplicates(spark, frame(rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "with_rows_bounded", lambda *a: False)
+    kept = exact_dedup.join_hot
+    monkeypatch.setattr(exact_dedup, "join_hot", lambda *a, **k: kept(*a, most=9, **k))
+    assert sorted(map(str, exact_dedup.exact_duplicates(spark, frame(rows)).collect())) == want
+
+
+def test_rows_of_hot_keys_are_joined_in_parts(spark):
+    from driftline.llm.storage import Workspace, join_hot
+
+    left = spark.createDataFrame([(k if k != 9 else None, i) for i in range(300) for k in [0 if i % 3 else i % 10]], "k long, i long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 10, 2)], "k long, v string")
+    want = sorted(map(str, left.join(right, "k", "left").collect()))
+    for most in (10, 1000):
+        assert sorted(map(str, join_hot(Workspace(spark, "test"), left, right, "k", ["i"], most).collect())) == want

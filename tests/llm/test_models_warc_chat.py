@@ -145,7 +145,7 @@ def test_revisits_without_a_broadcast(spark, frame, monkeypatch):
     want = {r.page_id: r.refers_to for r in warc.pages_through_warc(spark, pages).collect()}
     monkeypatch.setattr(warc, "with_rows_bounded", lambda *a: False)
     kept = warc.join_hot
-    monkeypatch.setattr(warc, "join_hot", lambda *a: kept(*a[:5], 7))
+    monkeypatch.setattr(warc, "join_hot", lambda *a, **k: kept(*a[:5], 7, **k))
     assert {r.page_id: r.refers_to for r in warc.pages_through_warc(spark, pages).collect()} == want
     assert want == {100: None} | {i: (i % 3 if i > 2 else None) for i in range(60)}
 
