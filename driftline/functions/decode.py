@@ -113,7 +113,9 @@ def numeric_canonical(s: Column, strict: bool = True) -> Column:
     shown = F.concat(number, F.when(scale > 0, F.concat(F.lit("."), F.substring(widened, (F.length(widened) - scale + 1).cast("int"), scale.cast("int")))).otherwise(""))
     sign = F.when(plain.startswith("-") & shown.rlike("[1-9]"), "-").otherwise("")
     good = special.isNotNull() | (F.trim(s).rlike(_NUMERIC) & power.between(-16383, 131072) & (scale <= 16383))
-    return _or_fail(F.coalesce(good, F.lit(False)), F.when(special.isNotNull(), special).otherwise(F.concat(sign, shown)), s, "numeric", strict)
+    written = _or_fail(F.coalesce(good, F.lit(False)), F.when(special.isNotNull(), special).otherwise(F.concat(sign, shown)), s, "numeric", strict)
+    #: Most texts are canonical as they come.
+    return F.when(s.rlike(r"^(?:-(?=[0.]*[1-9]))?(?:0|[1-9]\d*)(?:\.\d+)?$") & (F.length(s) < 16383), s).otherwise(written)
 
 
 def numeric_text(s: Column, precision: int | None, scale: int | None, strict: bool = True) -> Column:
@@ -122,11 +124,11 @@ def numeric_text(s: Column, precision: int | None, scale: int | None, strict: bo
     none of the type: it is never rounded."""
     if precision is None or scale is None or not decimal_fits(precision, scale):
         return numeric_canonical(s, strict)
-    plain = F.regexp_replace(F.trim(s), "_", "")
-    exact = plain.rlike(rf"^[+-]?(\d+(\.\d{{0,{scale}}}0*)?|\.\d{{0,{scale}}}0*)$")
-    through = numeric_canonical(s, False)  # an exponent is written out first
-    value = F.when(exact, plain.try_cast(T.DecimalType(precision, scale))).when(plain.rlike("[eE]") & through.rlike(rf"^-?\d+(\.\d{{0,{scale}}}0*)?$"), through.try_cast(T.DecimalType(precision, scale)))
-    return F.when(F.lower(plain) == "nan", F.lit(None).cast(T.DecimalType(precision, scale))).otherwise(_or_fail(value.isNotNull(), value, s, "numeric", strict))
+    kind = T.DecimalType(precision, scale)
+    digits = rf"(?:\d+(?:\.\d{{0,{scale}}}0*)?|\.\d{{0,{scale}}}0*)$"
+    written = numeric_canonical(s, False)  # separators, signs and exponents are written out first
+    value = F.when(s.rlike("^-?" + digits), s.try_cast(kind)).when(written.rlike("^-?" + digits), written.try_cast(kind))
+    return F.when(F.lower(F.trim(s)) == "nan", F.lit(None).cast(kind)).otherwise(_or_fail(value.isNotNull(), value, s, "numeric", strict))
 
 
 def decimal_fits(precision: int, scale: int) -> bool:
