@@ -150,7 +150,9 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     rows = known.where(draw < share).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
     x = np.array([np.frombuffer(bytes(r.x), np.uint16 if len(r.x) == 2 * BUCKETS else np.float32).astype(np.float32) for r in rows]).reshape(-1, BUCKETS)
     names = [r["lang"] for r in sizes]
-    lang = np.array([names.index(r["lang"]) for r in rows], int)
+    number = {name: i for i, name in enumerate(names)}
+    lang = np.array([number[r["lang"]] for r in rows], int)
+    del rows
     order = np.lexsort((x[:, 0], x.sum(1), lang))
     x, lang = x[order], lang[order]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
@@ -158,7 +160,8 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
     parts = [spherical_kmeans(unit[lang == i], centroids) for i in range(len(names)) if (lang == i).any()]
     owner = np.concatenate([np.full(len(p), i) for p, i in zip(parts, [i for i in range(len(names)) if (lang == i).any()], strict=True)])
     model = LanguageModel(names, idf, np.concatenate(parts), owner, np.full(40, np.inf))
-    _, score, _ = model.predict(x)
+    del unit
+    score = np.concatenate([model.predict(x[i : i + ROWS])[1] for i in range(0, len(x), ROWS)]) if len(x) else np.zeros(0)
     size = np.minimum(np.log2(1 + x.sum(1)).astype(int), 39)
     limit = distance_limits(1 - score, size)
     if limit is not None:
