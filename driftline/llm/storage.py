@@ -22,7 +22,7 @@ _SHIPPED: set[str] = set()
 
 #: Sizes of Arrow batches for columns of whole texts, where the session has
 #: Spark's defaults: both ends of the pipe hold one or two of them.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def ship(spark: SparkSession) -> None:
