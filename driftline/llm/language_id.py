@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import beside_rows, ship
+from .storage import beside_rows, giving_back, ship
 
 #: Hashed n-gram dimensions and the n-gram lengths in bytes.
 BUCKETS = 4096
 GRAMS = (1, 2, 3)
-#: Texts whose counts are held at once.
-ROWS = 256
+#: Texts whose counts are held at once, and their bytes, but one whole text at
+#: least: a worker's arrays are many times as large.
+ROWS = 64
+BYTES = 1 << 18
 #: Training texts of one language, chosen by a hash of their id: the classifier
 #: is fitted on about that many, and on TRAIN_TOTAL over all languages, but
 #: TRAIN_LEAST of each, so that every language is learned.
@@ -143,11 +145,11 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageModel:
 
     def vectors(batches):
         for b in batches:
-            for s in textvec.slices(b.column(1), rows=ROWS):
+            for s in textvec.slices(b.column(1), BYTES, ROWS):
                 x = gram_counts(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array([r.astype(np.uint16 if r.max() < 65535 else np.float32).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = known.where(draw < share).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
+    rows = known.where(draw < share).select("lang", "text").mapInArrow(giving_back(vectors), "lang string, x binary").collect()
     x = np.array([np.frombuffer(bytes(r.x), np.uint16 if len(r.x) == 2 * BUCKETS else np.float32).astype(np.float32) for r in rows]).reshape(-1, BUCKETS)
     names = [r["lang"] for r in sizes]
     number = {name: i for i, name in enumerate(names)}
@@ -189,7 +191,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_co
         m = shared.value
         for b in batches:
             names, scores, out = [], [], []
-            for s in textvec.slices(b.column(1), rows=ROWS):
+            for s in textvec.slices(b.column(1), BYTES, ROWS):
                 index, score, far = m.predict(gram_counts(s))
                 names += [m.languages[i] if i >= 0 else "und" for i in index]
                 scores.append(score)

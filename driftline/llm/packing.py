@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import ship
+from .storage import giving_back, ship
 
 CAPACITY = 4096
 #: Documents in a bin of each class: every number up to 16, then steps of a
@@ -331,9 +331,6 @@ class WordIds:
         return out
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` and, if asked for, ``ids``.
@@ -353,9 +350,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordIds(path)
-        tokenizer, end = _TOKENIZERS[path], np.array([END_ID], "<u4").tobytes()
+        tokenizer, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
         packer, held = Packer(TaskContext.get().partitionId() << 36, capacity), {}
 
         def rows_of(placed):
@@ -387,7 +382,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
             yield _pieces(rows, with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(giving_back(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 def _pieces(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:

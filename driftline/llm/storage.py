@@ -6,6 +6,7 @@ survives the loss of any executor, unlike a local checkpoint.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -114,6 +115,32 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if with_rows_bounded(df.sparkSession, df, limit) else df
 
 
+def give_back() -> None:
+    """Return free memory to the system, which the allocators of Python and
+    Arrow would keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run):
+    """``run`` over Arrow batches, in a Python worker that serves the tasks of
+    all operators one after the other: what the task before has freed goes
+    back to the system first, and what ``run`` has freed at its end, so an
+    executor's memory follows the tasks that run and not all that have run."""
+
+    def tidy(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def beside_rows(docs: DataFrame, id_col: str, whole_rows: bool, columns: list, run, found: str) -> DataFrame:
     """``run`` over batches of an opaque first column and ``columns``, which
     it returns first again, beside columns of the DDL ``found``. The first
@@ -123,7 +150,7 @@ def beside_rows(docs: DataFrame, id_col: str, whole_rows: bool, columns: list, r
 
     first = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole_rows else F.col(id_col).cast("long").alias("doc_id")
     given = docs.select(first, *(c.alias(f"_{i}") for i, c in enumerate(columns)))
-    return given.mapInArrow(run, StructType([given.schema[0], *StructType.fromDDL(found)]))
+    return given.mapInArrow(giving_back(run), StructType([given.schema[0], *StructType.fromDDL(found)]))
 
 
 #: Rows of one key that go to one task of a join before they are split.

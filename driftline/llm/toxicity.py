@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import beside_rows, ship
+from .storage import beside_rows, giving_back, ship
 
 #: Words of a passage; the next one begins in its middle.
 PASSAGE = 128
@@ -177,7 +177,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> ToxicityMode
                 for s in textvec.slices(b.column(1)):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array(packed(s), pa.binary())], names=["toxic", "x"])
 
-        return sorted((min(r.toxic, 1), bytes(r.x)) for r in chosen.mapInArrow(run, "toxic int, x binary").collect())
+        return sorted((min(r.toxic, 1), bytes(r.x)) for r in chosen.mapInArrow(giving_back(run), "toxic int, x binary").collect())
 
     features, odds = choose_features([(t, np.frombuffer(x, textvec.U64)) for t, x in rows_of(lambda s: [h.tobytes() for h in distinct_hashes(s)])])
     if not len(odds):
