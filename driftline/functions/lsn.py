@@ -14,7 +14,9 @@ LSN = "decimal(20,0)"
 
 def hex16(number: Column) -> Column:
     """16 lower-case hex digits of an unsigned 64-bit number."""
-    return F.lpad(F.lower(F.conv(number.cast(LSN).cast("string"), 10, 16)), 16, "0")
+    small = number.try_cast("bigint")  # all but positions from 2 ** 63 on
+    digits = F.when(small >= 0, F.hex(small)).otherwise(F.conv(number.cast(LSN).cast("string"), 10, 16))
+    return F.lpad(F.lower(digits), 16, "0")
 
 
 def sequence_key(commit_lsn: Column, tx_ordinal: Column) -> Column:

@@ -31,18 +31,21 @@ def fold(legs: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     partial one carries column c. A key's state opens with its last full image;
     each column then takes the last leg that carries it, so a carried NULL
     wins. A delete or a missing opener leaves no row. As a full image carries
-    every column, the last carrier is never older than the opener, and one
-    aggregation finds all of it. ``tombstones`` keeps deleted keys, marked in
-    ``deleted``.
+    every column, one aggregation finds all of it: the last full leg whole, and
+    for each column the last partial one, which counts if it is later. Stored
+    rows are full, so they fill one buffer alone. ``tombstones`` keeps deleted
+    keys, marked in ``deleted``.
     """
-    at = F.struct(*order)
-    columns = [F.max_by(F.struct(v), F.when(full | present.get(v, F.lit(True)), at)).alias(v) for v in values]
-    opened = F.max_by("deleted", F.when(full, at)).alias("_deleted")
-    out = legs.groupBy(*keys).agg(opened, F.max(at).alias("_last"), *columns)
-    row = [*keys, *(F.col(f"_last.{o}") for o in order)]
+    at, full = F.struct(*order), F.coalesce(full, F.lit(False))
+    opened = F.max_by(F.struct(at.alias("at"), F.col("deleted"), *(F.col(v).alias(f"v_{v}") for v in values)), F.when(full, at)).alias("_opened")
+    carried = [F.max_by(F.struct(at.alias("at"), F.col(v).alias("v")), F.when(~full & present.get(v, F.lit(True)), at)).alias(v) for v in values]
+    out = legs.groupBy(*keys).agg(opened, F.max(F.when(~full, at)).alias("_last"), *carried)
+    last = F.greatest("_opened.at", "_last")
+    newest = {v: F.when(F.col(f"{v}.at") > F.col("_opened.at"), F.col(f"{v}.v")).otherwise(F.col("_opened").getField(f"v_{v}")) for v in values}
+    row = [*keys, *(last.getField(o).alias(o) for o in order)]
     if tombstones:
-        return out.where("_deleted is not null").select(*row, F.col("_deleted").alias("deleted"), *(F.when(~F.col("_deleted"), F.col(f"{v}.{v}")).alias(v) for v in values))
-    return out.where("_deleted is not null and not _deleted").select(*row, *(F.col(f"{v}.{v}") for v in values))
+        return out.where("_opened.deleted is not null").select(*row, F.col("_opened.deleted").alias("deleted"), *(F.when(~F.col("_opened.deleted"), newest[v]).alias(v) for v in values))
+    return out.where("_opened.deleted is not null and not _opened.deleted").select(*row, *(newest[v].alias(v) for v in values))
 
 
 def after_truncates(rows: DataFrame, truncates: DataFrame, table: str = "table_id", key: str = "seq") -> DataFrame:

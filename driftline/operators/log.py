@@ -40,15 +40,18 @@ def split_key_changes(log: DataFrame, old_keys: Sequence[str], new_keys: Sequenc
     old image came, is the new one.
     """
     keys = list(keys or new_keys)
-    types = dict(log.dtypes)
     old = [F.coalesce(F.col(o), F.col(n)) for o, n in zip(old_keys, new_keys, strict=True)]
     moved = F.lit(False)
     for o, n in zip(old, new_keys, strict=True):
         moved = moved | ~o.eqNullSafe(F.col(n))
-    gone = F.struct(*[o.alias(k) for o, k in zip(old, keys, strict=True)], F.lit(0).alias("sub"), F.lit(True).alias("deleted"), *[F.lit(None).cast(types[v]).alias(v) for v in values])
-    upsert = F.struct(*[F.col(n).alias(k) for n, k in zip(new_keys, keys, strict=True)], F.when(moved, 1).otherwise(0).alias("sub"), (F.col("op") == "D").alias("deleted"), *[F.col(v).alias(v) for v in values])
-    legs = F.explode(F.filter(F.array(F.when(moved, gone), upsert), lambda x: x.isNotNull()))
-    return log.select(*order, legs.alias("leg")).select(*(F.col(f"leg.{k}") for k in keys), *order, "leg.sub", "leg.deleted", *(F.col(f"leg.{v}") for v in values))
+    #: 0 the delete of a moved row, 1 its upsert, 2 the leg of a row that stays; numbers alone, as compiled code can explode these.
+    numbers = lambda *n: F.array(*map(F.lit, n))
+    legs = log.withColumn("_leg", F.explode(F.when(moved, numbers(0, 1)).otherwise(numbers(2))))
+    gone = F.col("_leg") == 0
+    named = [F.when(gone, o).otherwise(F.col(n)).alias(k) for o, n, k in zip(old, new_keys, keys, strict=True)]
+    sub = F.when(F.col("_leg") == 1, 1).otherwise(0).alias("sub")
+    deleted = F.when(gone, F.lit(True)).otherwise(F.col("op") == "D").alias("deleted")
+    return legs.select(*named, *order, sub, deleted, *(F.when(~gone, F.col(v)).alias(v) for v in values))
 
 
 def without_old_image_needs_primary_key(log: DataFrame, identity: str) -> DataFrame:

@@ -44,17 +44,35 @@ def strict_images(log: DataFrame, destination: str) -> DataFrame:
     return log.where(F.when(image_rejected(destination), F.raise_error(message)).otherwise(F.lit(True)))
 
 
-def strict_json_images(log: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """The same for images as JSON objects: ``new`` of an insert or update must
-    have every column, ``old`` of a delete, or where an update has one, every
-    key. A null value is a value; an absent one isn't."""
+def json_absent(columns: Sequence[str], keys: Sequence[str]) -> Column:
+    """Names that the images of an event lack, as JSON objects: ``new`` of an
+    insert or update must have every column, ``old`` of a delete, or where an
+    update has one, every key. A null value is a value; an absent one isn't."""
     lacks = lambda image, names: F.array_except(F.array(*map(F.lit, names)), F.coalesce(F.json_object_keys(image), F.array().cast("array<string>")))
     new = F.when(F.col("op").isin("I", "U"), lacks("new", columns))
     old = F.when((F.col("op") == "D") | ((F.col("op") == "U") & F.col("old").isNotNull()), lacks("old", keys))
     none = F.array().cast("array<string>")
-    absent = F.concat(F.coalesce(new, none), F.coalesce(old, none))
-    message = F.concat(F.lit("partial image: operation "), F.col("op"), F.lit(" lacks "), F.array_join(absent, ", "))
-    return log.where(F.when(F.size(absent) > 0, F.raise_error(message)).otherwise(F.lit(True)))
+    return F.concat(F.coalesce(new, none), F.coalesce(old, none))
+
+
+def absent_message(absent: Column) -> Column:
+    return F.concat(F.lit("partial image: operation "), F.col("op"), F.lit(" lacks "), F.array_join(absent, ", "))
+
+
+def strict_json_images(log: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The same as :func:`strict_images` for images as JSON objects."""
+    absent = json_absent(columns, keys)
+    return log.where(F.when(F.size(absent) > 0, F.raise_error(absent_message(absent))).otherwise(F.lit(True)))
+
+
+def strict_parsed_op(columns: Sequence[str], keys: Sequence[str], new: str, old: str) -> Column:
+    """The operation, or the same error, where ``new`` and ``old`` have been
+    parsed into the columns of those names. A name that an image lacks is null
+    there, so texts are read for their names only beside a null."""
+    null = lambda image, names: F.greatest(*[F.col(f"{image}.{c}").isNull() for c in names], F.lit(False))
+    doubtful = F.when(F.col("op") == "D", null(old, keys)).otherwise(null(new, columns) | (F.col("old").isNotNull() & null(old, keys)))
+    absent = json_absent(columns, keys)
+    return F.when(F.when(doubtful, F.size(absent) > 0).otherwise(F.lit(False)), F.raise_error(absent_message(absent)).cast("string")).otherwise(F.col("op"))
 
 
 def audit_log(log: DataFrame, columns: Sequence[tuple[str, str, bool]], keys: Sequence[str]) -> DataFrame:

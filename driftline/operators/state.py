@@ -18,7 +18,10 @@ MEMORY_ONLY = ("sync_wait", "catchup")
 
 
 class Destination(ABC):
-    """What a sink offers."""
+    """What a sink offers. One that is ``idempotent`` takes an event that comes
+    twice in a batch as one, so that no one needs to look for those."""
+
+    idempotent = False
 
     def startup(self) -> None: ...
 

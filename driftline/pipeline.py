@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.lsn import sequence_key
 from driftline.operators import apply, log
-from driftline.operators.sinks import BucketedTable, strict_json_images
+from driftline.operators.sinks import BucketedTable, strict_parsed_op
 from driftline.operators.state import Destination, MemoryStore, next_state
 from driftline.streaming.apply_stream import start
 
@@ -44,9 +44,12 @@ class LakeDestination(Destination):
     A partial image raises, or with ``partial`` keeps the stored values of the
     columns it lacks; one that moves its row raises in any case. A copy that
     starts anew opens a table's next generation, which is noted in the folder,
-    so that a restart goes on with it.
+    so that a restart goes on with it. A key takes what is at its highest
+    position, so an event that comes twice changes nothing.
     """
 
+    idempotent = True
+
     def __init__(self, spark: SparkSession, root: str, tables: Sequence[Table], buckets: int = 64, parallel: int = 4, partial: bool = False):
         self.spark, self.root, self.buckets, self.parallel, self.partial = spark, root.rstrip("/"), buckets, parallel, partial
         self.tables = {t.table_id: t for t in tables}
@@ -91,11 +94,14 @@ class LakeDestination(Destination):
         if live is not None and live.batch_id is not None and live.batch_id >= batch_id:
             return
         keys, values = list(t.keys), self._values(t)
-        rows = strict_json_images(events.where(F.col("op").isin(*log.ROW_OPS)), keys if self.partial else self._row(t).columns, keys)
-        named = F.coalesce(F.json_object_keys("new"), F.array().cast("array<string>"))
-        rows = rows.withColumn("absent", F.when(F.col("op") != "D", F.array_except(F.array(*map(F.lit, values)).cast("array<string>"), named)))
-        images = rows.select("op", sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq"), "absent", F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
-        flat = images.select("op", "_seq", F.col("absent").alias("_absent"), *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(f"_old_{k}") for k in keys], *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys], *[F.col(f"n.{v}").alias(v) for v in values])
+        position = sequence_key(F.col("commit_lsn"), F.col("tx_ordinal")).alias("_seq")
+        images = events.where(F.col("op").isin(*log.ROW_OPS)).select("op", position, "new", "old", F.from_json("new", t.columns).alias("n"), F.from_json("old", t.columns).alias("o"))
+        op = strict_parsed_op(keys if self.partial else self._row(t).columns, keys, "n", "o")
+        #: Only an image with a null may lack a name.
+        named, none = F.coalesce(F.json_object_keys("new"), F.array().cast("array<string>")), F.array().cast("array<string>")
+        complete = F.least(*[F.col(f"n.{v}").isNotNull() for v in values], F.lit(True))
+        absent = F.when(F.col("op") != "D", F.when(complete, none).otherwise(F.array_except(F.array(*map(F.lit, values)).cast("array<string>"), named)))
+        flat = images.select(op.alias("op"), "_seq", absent.alias("_absent"), *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(f"_old_{k}") for k in keys], *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys], *[F.col(f"n.{v}").alias(v) for v in values])
         legs = log.split_key_changes(flat, [f"_old_{k}" for k in keys], keys, [*values, "_absent"], ["_seq"]).withColumnsRenamed({"sub": "_sub", "deleted": "_deleted"})
         lost = (F.size("_absent") > 0) & (F.col("_sub") == 1)
         legs = legs.where(F.when(lost, F.raise_error(F.lit("partial image: it moves its row and lacks values"))).otherwise(F.lit(True)))
@@ -158,7 +164,9 @@ class Pipeline:
         """Events of copied tables after their snapshot."""
         gates = [(i, "sync_done", t.snapshot_lsn + 1) for i, t in self.tables.items() if self.store.state(i) in ("sync_done", "ready")]
         states = self.spark.createDataFrame(gates, "table_id long, state string, lsn long")
-        return apply.owned(apply.distinct_events(events), F.broadcast(states))  # a row for each table
+        #: Either way a batch of few files is spread over all cores.
+        once = events.repartition("commit_lsn", "tx_ordinal") if self.destination.idempotent else apply.distinct_events(events)
+        return apply.owned(once, F.broadcast(states))  # a row for each table
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
         ours = self.owned(events).persist()
