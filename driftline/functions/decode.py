@@ -40,24 +40,50 @@ def date_text(s: Column, strict: bool = True) -> Column:
     return _or_fail(good & value.isNotNull(), value, s, "date", strict)
 
 
+_TIME = r"([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?"
+#: A UTC offset below 16 hours.
+_OFFSET = r"[+-](0\d|1[0-5])(:?[0-5]\d)?(:?[0-5]\d)?"
+
+
 def time_micros(s: Column, strict: bool = True) -> Column:
     """Microseconds since midnight of ``HH:MM:SS[.f]`` with up to 9 digits of a
     fraction, cut to microseconds."""
-    good = s.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?$")
-    whole = F.substring(s, 1, 2).cast("long") * 3600 + F.substring(s, 4, 2).cast("long") * 60 + F.substring(s, 7, 2).cast("long")
-    fraction = F.substring(F.rpad(F.regexp_extract(s, r"\.(\d+)$", 1), 6, "0"), 1, 6).cast("long")
-    return F.when(good, whole * 1_000_000 + fraction) if not strict else _or_fail(good, F.when(good, whole * 1_000_000 + fraction), s, "time", True)
+    two = lambda start: F.substring(s, start, 2).cast("long")
+    fraction = F.rpad(F.substring(s, 10, 6), 6, "0").cast("long")
+    return _or_fail(s.rlike(rf"^{_TIME}\z"), (two(1) * 3600 + two(4) * 60 + two(7)) * 1_000_000 + fraction, s, "time", strict)
+
+
+# One pattern decides whether a text is good, and its parts are then cut out at
+# their places: parts found by patterns of their own are run again wherever an
+# expression names them, and their code grows too large to be compiled.
+
+
+def _apart(s: Column) -> tuple[Column, Column]:
+    """What is before and after the last sign, where the text before it has none."""
+    marked = F.translate(s, "+", "-")
+    return F.substring_index(marked, "-", 1), F.substring_index(marked, "-", -1)
+
+
+def _offset_digits(s: Column) -> Column:
+    """``HHMMSS`` of a good offset at the end of the text."""
+    return F.rpad(F.translate(_apart(s)[1], ":", ""), 6, "0")
+
+
+def _offset_negative(s: Column) -> Column:
+    return ~F.contains(F.substring_index(s, "-", -1), F.lit("+"))
 
 
-_OFFSET = r"([+-])(\d{2})(?::?([0-5]\d))?(?::?([0-5]\d))?$"
+def _offset_value(s: Column) -> Column:
+    """Seconds of a good offset at the end of the text."""
+    digits = _offset_digits(s)
+    two = lambda start: F.substring(digits, start, 2).cast("int")
+    return F.when(_offset_negative(s), -1).otherwise(1) * (two(1) * 3600 + two(3) * 60 + two(5))
 
 
 def offset_seconds(s: Column) -> Column:
     """Seconds of a UTC offset at the end of the text: ``+HH``, ``+HHMM[SS]`` or
     ``+HH:MM[:SS]``, below 16 hours; NULL for anything else."""
-    part = lambda n: F.coalesce(F.nullif(F.regexp_extract(s, _OFFSET, n), F.lit("")), F.lit("0")).cast("int")
-    value = part(2) * 3600 + part(3) * 60 + part(4)
-    return F.when(s.rlike(_OFFSET) & (F.when(s.rlike(_OFFSET), value) < 57600), F.when(F.regexp_extract(s, _OFFSET, 1) == "-", -value).otherwise(value))
+    return F.when(s.rlike(rf"{_OFFSET}\z"), _offset_value(s))
 
 
 def _timestamp_body(s: Column) -> Column:
@@ -72,22 +98,21 @@ def timestamp_text(s: Column, strict: bool = True) -> Column:
 
 def timestamptz_text(s: Column, strict: bool = True) -> Column:
     """A timestamp with offset, as an instant. The session's zone must be UTC."""
-    body = F.regexp_replace(s, _OFFSET, "")
-    value = _timestamp_body(body).try_cast("timestamp_ntz").cast("timestamp") - F.make_dt_interval(secs=offset_seconds(s).cast("decimal(18,6)"))
-    return _or_fail(value.isNotNull(), value, s, "timestamptz", strict)
+    good = s.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}{_OFFSET}\z")
+    body = F.concat(F.substring(s, 1, 10), F.substring(_apart(F.substring(s, 11, 1 << 30))[0], 1, 16))  # cut to microseconds
+    value = F.when(good, body.try_cast("timestamp_ntz").cast("timestamp") - F.make_dt_interval(secs=_offset_value(s).cast("decimal(18,6)")))
+    return F.coalesce(value, F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a timestamptz: "), s)))) if strict else value
 
 
 def timetz_text(s: Column, strict: bool = True) -> Column:
     """Canonical ``HH:MM:SS[.f]+HH[:MM[:SS]]``; zero minutes and seconds of the
     offset are left out, as are zeros at the end of the fraction."""
-    offset, time = offset_seconds(s), F.regexp_replace(s, _OFFSET, "")
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    size = F.abs(offset)
-    hours, minutes, seconds = F.floor(size / 3600), F.floor(size / 60) % 60, size % 60
-    tail = F.concat(F.when(offset < 0, "-").otherwise("+"), two(hours), F.when((minutes > 0) | (seconds > 0), F.concat(F.lit(":"), two(minutes))).otherwise(""), F.when(seconds > 0, F.concat(F.lit(":"), two(seconds))).otherwise(""))
-    good = time_micros(time, False).isNotNull() & offset.isNotNull()
-    head = F.regexp_replace(F.regexp_replace(time, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return _or_fail(good, F.concat(head, tail), s, "timetz", strict)
+    time, digits = _apart(s)[0], _offset_digits(s)
+    head = F.when(F.contains(time, F.lit(".")), F.rtrim(F.rtrim(time, F.lit("0")), F.lit("."))).otherwise(time)
+    sign = F.when(_offset_negative(s) & (digits != "000000"), "-").otherwise("+")
+    part = lambda start, shown: F.when(shown, F.concat(F.lit(":"), F.substring(digits, start, 2))).otherwise("")
+    tail = F.concat(sign, F.substring(digits, 1, 2), part(3, F.substring(digits, 3, 4) != "0000"), part(5, F.substring(digits, 5, 2) != "00"))
+    return _or_fail(s.rlike(rf"^{_TIME}{_OFFSET}\z"), F.concat(head, tail), s, "timetz", strict)
 
 
 _NUMERIC = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"

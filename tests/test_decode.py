@@ -134,3 +134,16 @@ def test_defaults(expression, kind, want):
 
 def test_rendered_defaults():
     assert render_default("it's", "text") == "'it''s'" and render_default("1", "int4") == "1" and render_default("2020-01-01", "date") == "DATE '2020-01-01'"
+
+
+@pytest.mark.parametrize("f", [decode.timetz_text, decode.timestamptz_text, decode.time_micros])
+def test_one_pattern_decides_on_a_zoned_text(spark, f):
+    """Patterns for each part ran again wherever an expression named a part."""
+    plan = spark.createDataFrame([], "s string").select(f(F.col("s")).alias("v"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("rlike") <= 1 and "regexp" not in plan
+
+
+def test_a_line_break_is_no_part_of_a_time(spark):
+    for f, text in ((decode.time_micros, "12:30:00"), (decode.timetz_text, "12:30:00+05"), (decode.timestamptz_text, "2026-01-01 12:30:00+05")):
+        assert [x is None for x in run(spark, lambda s, f=f: f(s, False), [text, text + "\n"])] == [False, True]
+    assert run(spark, decode.timetz_text, ["00:00:00-00:30", "10:20:30.000-00", "10:00:00.120300+0530", "01:02:03-153015"]) == ["00:00:00-00:30", "10:20:30+00", "10:00:00.1203+05:30", "01:02:03-15:30:15"]
